@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import topk, warc
+from . import media, topk, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_media_columns": media.op3_media_columns,
         "op8_exact_topk": topk.op8_exact_topk,
         "op10_warc": warc.op10_warc,
     }
