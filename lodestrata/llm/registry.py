@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, topk, warc
+from . import bpe, media, topk, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_media_columns": media.op3_media_columns,
+        "op6_bpe_round_trip": bpe.op6_bpe_round_trip,
         "op8_exact_topk": topk.op8_exact_topk,
         "op10_warc": warc.op10_warc,
     }
