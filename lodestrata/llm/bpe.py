@@ -29,6 +29,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import table
 
@@ -246,7 +247,7 @@ def encoded(docs: DataFrame, vocab: str, text_col: str = "text") -> DataFrame:
             ids = pa.array([np.frombuffer(encode(x.as_py() or ""), "<i4") for x in batch.column(text_col)], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), ids], names=[*rest, "ids"])
 
-    return docs.select(rest).mapInArrow(run, docs.select(rest).schema.add("ids", "array<int>"))
+    return docs.select(rest).mapInArrow(run, T.StructType([*docs.select(rest).schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 
 
 def decoded(rows: DataFrame, vocab: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -260,7 +261,7 @@ def decoded(rows: DataFrame, vocab: str, ids_col: str = "ids", out_col: str = "d
             texts = [machine.decode(np.asarray(x.as_py() or [], np.int64)).decode(errors="replace") for x in batch.column(ids_col)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(texts, pa.string())], names=[*rest, out_col])
 
-    return rows.select(rest).mapInArrow(run, rows.select(rest).schema.add(out_col, "string"))
+    return rows.select(rest).mapInArrow(run, T.StructType([*rows.select(rest).schema.fields, T.StructField(out_col, T.StringType())]))
 
 
 def round_trip(docs: DataFrame, vocab: str) -> DataFrame:

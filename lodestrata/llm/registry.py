@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, media, packing, topk, warc
+from . import bpe, media, packing, substring_dedup, topk, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_media_columns": media.op3_media_columns,
+        "op4_substring_dedup": substring_dedup.op4_substring_dedup,
         "op5_best_fit_packing": packing.op5_best_fit_packing,
         "op6_bpe_round_trip": bpe.op6_bpe_round_trip,
         "op8_exact_topk": topk.op8_exact_topk,
