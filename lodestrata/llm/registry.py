@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, media, packing, substring_dedup, topk, warc
+from . import bpe, media, packing, secret_scan, substring_dedup, topk, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_substring_dedup": substring_dedup.op4_substring_dedup,
         "op5_best_fit_packing": packing.op5_best_fit_packing,
         "op6_bpe_round_trip": bpe.op6_bpe_round_trip,
+        "op7_secret_scan": secret_scan.op7_secret_scan,
         "op8_exact_topk": topk.op8_exact_topk,
         "op10_warc": warc.op10_warc,
     }
