@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, media, packing, secret_scan, substring_dedup, topk, warc
+from . import bpe, media, ngram_join, packing, secret_scan, substring_dedup, topk, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_bpe_round_trip": bpe.op6_bpe_round_trip,
         "op7_secret_scan": secret_scan.op7_secret_scan,
         "op8_exact_topk": topk.op8_exact_topk,
+        "op9_ngram_jaccard": ngram_join.op9_ngram_jaccard,
         "op10_warc": warc.op10_warc,
     }
 
