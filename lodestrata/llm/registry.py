@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, media, ngram_join, packing, secret_scan, substring_dedup, topk, toxicity, warc
+from . import bpe, media, ngram_join, packing, secret_scan, substring_dedup, token_counts, topk, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_token_counts": token_counts.op1_token_counts,
         "op2_toxicity": toxicity.op2_toxicity,
         "op3_media_columns": media.op3_media_columns,
         "op4_substring_dedup": substring_dedup.op4_substring_dedup,
