@@ -322,17 +322,17 @@ def _clusters(active: DataFrame, percent: int, folder: str) -> DataFrame:
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)))
     posts = active.select("doc_id", F.explode("prefix").alias("h"), band.alias("band"))
     posts = posts.select("doc_id", "h", F.explode(F.array("band", F.col("band") + 1)).alias("band"))  # linked sizes share a band
-    least = posts.groupBy("h", "band").agg(F.min("doc_id").alias("b"), F.count("*").alias("m")).where("m > 1").drop("m")
+    least = stored(posts.groupBy("h", "band").agg(F.min("doc_id").alias("b"), F.count("*").alias("m")).where("m > 1").drop("m"), f"{folder}/least")
     edges = posts.join(least, ["h", "band"]).where("doc_id != b").select(F.col("doc_id").alias("a"), "b").distinct()
     found = components(edges, f"{folder}/clusters")
     return active.join(found.withColumnRenamed("node", "doc_id").withColumnRenamed("component", "cluster"), "doc_id")
 
 
-def _links(active: DataFrame, percent: int, folder: str) -> DataFrame:
+def _links(active: DataFrame, percent: int, folder: str, cluster_block: int) -> DataFrame:
     """node, component of the classes that link with another class."""
     rows = stored(_clusters(active, percent, folder).select("cluster", "doc_id", "n", "shared"), f"{folder}/rows")
     sizes = rows.groupBy("cluster").agg(F.count("*").alias("m"))
-    large = stored(sizes.where(F.col("m") > CLUSTER_BLOCK), f"{folder}/large")
+    large = stored(sizes.where(F.col("m") > cluster_block), f"{folder}/large")
     count, total = large.count(), rows.count()
     groups = max(32, -(-total // 1024))
     flat = rows.join(small(large, count), "cluster", "left_anti") if count else rows
@@ -342,7 +342,7 @@ def _links(active: DataFrame, percent: int, folder: str) -> DataFrame:
     if not count:
         return own.select(F.col("a").alias("node"), F.col("b").alias("component"))
     big = stored(rows.join(small(large, count), "cluster"), f"{folder}/big")
-    blocks = F.ceil(F.col("m") / CLUSTER_BLOCK).cast("long")
+    blocks = F.ceil(F.col("m") / cluster_block).cast("long")
     tries = big.withColumn("dealing", F.explode(F.sequence(F.lit(0), F.lit(DEALINGS - 1))))
     tries = tries.withColumn("block", F.pmod(F.xxhash64("doc_id", "dealing"), blocks)).groupBy("cluster", "dealing", "block").applyInArrow(_within(percent), "a long, b long")
     first = stored(tries.where("a != b"), f"{folder}/tries")
@@ -352,9 +352,9 @@ def _links(active: DataFrame, percent: int, folder: str) -> DataFrame:
     label = label.join(F.broadcast(main) if count <= 100_000 else main, "cluster")
     outside = label.where("label != main")
     number = F.row_number().over(Window.partitionBy("cluster", "part").orderBy("doc_id")) - 1
-    outside = outside.withColumn("part", F.pmod(F.xxhash64("doc_id"), blocks)).withColumn("chunk", F.floor(number / CLUSTER_BLOCK)).withColumn("chunk", F.xxhash64("part", "chunk"))
+    outside = outside.withColumn("part", F.pmod(F.xxhash64("doc_id"), blocks)).withColumn("chunk", F.floor(number / cluster_block)).withColumn("chunk", F.xxhash64("part", "chunk"))
     outside = stored(outside.select("cluster", "m", "chunk", "n", "shared", "label"), f"{folder}/outside")
-    chunks = outside.select("cluster", "chunk").distinct()
+    chunks = stored(outside.select("cluster", "chunk").distinct(), f"{folder}/chunks")
     left = outside.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     right = label.select("cluster", F.pmod(F.xxhash64("doc_id"), blocks).alias("block"), "n", "shared", "label").join(chunks, "cluster")
     keys = ("cluster", "chunk", "block")
@@ -363,7 +363,7 @@ def _links(active: DataFrame, percent: int, folder: str) -> DataFrame:
     return own.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(tied)
 
 
-def jaccard_components(docs: DataFrame, folder: str, percent: int = PERCENT, share: float = SHARE) -> DataFrame:
+def jaccard_components(docs: DataFrame, folder: str, percent: int = PERCENT, share: float = SHARE, cluster_block: int = CLUSTER_BLOCK) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of docs."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     buckets = max(32, 2 * input_splits(docs))
@@ -376,7 +376,7 @@ def jaccard_components(docs: DataFrame, folder: str, percent: int = PERCENT, sha
     whole = sets.join(classes.withColumnRenamed("rep", "doc_id"), ["class", "doc_id"], "left_semi").select("doc_id", "shingles").dropDuplicates(["doc_id"])
     counts = whole.mapInArrow(_set_blocks(buckets), BLOCKS).groupBy("bucket").applyInArrow(_columns(True), COUNTS)
     active = stored(counts.groupBy("batch").applyInArrow(_prefixes(percent), ACTIVE), f"{folder}/active")
-    found = _links(active, percent, folder)
+    found = _links(active, percent, folder, cluster_block)
     ties = sets.select("doc_id", "class").distinct().join(classes, "class").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     ties = ties.select("doc_id", F.coalesce("component", "rep").alias("component")).groupBy("doc_id").agg(F.min("component").alias("component")).where("doc_id != component")
     return sizes.join(ties, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
