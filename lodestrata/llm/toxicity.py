@@ -135,10 +135,11 @@ def _apart(texts: list[str]) -> np.ndarray:
     return np.array(out, np.int64)
 
 
-def _seeds(docs: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
-    """Features of several toxic documents that few clean ones have."""
-    hits = [np.bincount(np.concatenate([docs[k] for k in np.flatnonzero(toxic == y)] or [np.empty(0, np.int64)]), minlength=FEATURES) for y in (False, True)]
-    n = [int((toxic == y).sum()) for y in (False, True)]
+def _seeds(docs: Iterator[np.ndarray], toxic: np.ndarray) -> np.ndarray:
+    """Features of several toxic documents that few clean ones have. docs: distinct features, one document at a time."""
+    hits, n = np.zeros((2, FEATURES), np.int32), np.bincount(toxic.astype(int), minlength=2)
+    for own, y in zip(docs, toxic.astype(int), strict=True):
+        hits[y, own] += 1
     odds = np.log((hits[1] + 0.5) / (n[1] + 1)) - np.log((hits[0] + 0.5) / (n[0] + 1))
     return np.flatnonzero((hits[1] >= max(LEAST_DOCS, LEAST_SHARE * n[1])) & (odds >= LEAST_ODDS))
 
@@ -149,14 +150,14 @@ def fit(rows: list[tuple[str, int]]) -> Model | None:
     if not len(rows) or toxic.all() or not toxic.any():
         return None
     index: dict[str, int] = {}
-    words = [np.array([index.setdefault(w, len(index)) for w in text.split()], np.int64) for text, _ in rows]
-    own = [np.array(features(w), np.int64) for w in index]
+    words = [np.array([index.setdefault(w, len(index)) for w in text.split()], np.int32) for text, _ in rows]
+    own = [np.array(features(w), np.int32) for w in index]
     starts_of = np.cumsum([0] + [len(x) for x in own])
-    flat = np.concatenate(own) if own else np.empty(0, np.int64)
+    flat = np.concatenate(own) if own else np.empty(0, np.int32)
     if not index:
         return None
     apart = _apart([text for text, _ in rows])
-    docs = [np.unique(np.concatenate([own[w] for w in np.unique(words[k])])) if len(words[k]) else np.empty(0, np.int64) for k in apart]
+    docs = (np.unique(np.concatenate([own[w] for w in np.unique(words[k])])) if len(words[k]) else np.empty(0, np.int32) for k in apart)
     seeds = np.zeros(FEATURES, bool)
     seeds[_seeds(docs, toxic[apart])] = True
     seeded = np.logical_or.reduceat(seeds[flat], starts_of[:-1])
@@ -172,11 +173,12 @@ def fit(rows: list[tuple[str, int]]) -> Model | None:
     token, lengths, starts = chain(used)
     gold = seeded[token] & np.repeat(toxic[used], lengths)
     inner = ~starts[1:]
+    del own, index
     theta, rates = np.zeros(FEATURES), np.full(FEATURES, 1e-8)
     bias, shape = np.log((gold.sum() + 1) / (len(gold) + 2)), np.zeros(5)  # log transitions, log initial ratio
     rate2 = np.full(6, 1e-8)
     pair = np.array([[np.sum(inner & (gold[:-1] == i) & (gold[1:] == j)) for j in (0, 1)] for i in (0, 1)], float)
-    seen = np.bincount(token, weights=gold, minlength=len(index))
+    seen = np.bincount(token, weights=gold, minlength=len(starts_of) - 1)
     for _ in range(STEPS):
         x = np.exp(np.clip(np.add.reduceat(theta[flat], starts_of[:-1])[token] + bias, -30, 30))
         trans, initial = np.exp(shape[:4]).reshape(2, 2), float(np.exp(shape[4]))
@@ -184,7 +186,7 @@ def fit(rows: list[tuple[str, int]]) -> Model | None:
         p = r * b / (1 + r * b)
         w = np.stack([np.full(len(x) - 1, trans[0, 0]), trans[0, 1] * x[1:] * b[1:], r[:-1] * trans[1, 0], r[:-1] * trans[1, 1] * x[1:] * b[1:]])
         w = (w / w.sum(axis=0))[:, inner].sum(axis=1)
-        off = seen - np.bincount(token, weights=p, minlength=len(index))
+        off = seen - np.bincount(token, weights=p, minlength=len(starts_of) - 1)
         g = np.bincount(flat, weights=np.repeat(off, np.diff(starts_of)), minlength=FEATURES) - DECAY * len(token) * theta
         rates += g * g
         theta += RATE * g / np.sqrt(rates)
