@@ -13,6 +13,8 @@ documents these p-values go through Benjamini-Hochberg control of the false disc
 length, since what a short candidate can show is less. The p-values are binned, and counts per stratum and bin (a table
 of fixed size) give the threshold. Discoveries are added as spans of kind `random` where they don't overlap a pattern's span.
 
+Short candidates whose letters are as mixed as a random string's (a pangram in camel case, say) can't be told from one.
+
 Defined cases: null and empty texts have no span; texts of any length are read whole; rows that repeat are scanned each, and count
 each in the control; an empty table gives no row; other columns are ignored (op7) or pass through (redacted).
 """
@@ -175,12 +177,13 @@ def _told(spans: Column) -> Column:
 
 
 def redacted(docs: DataFrame, folder: str) -> DataFrame:
-    """docs with every found span of text replaced; all other columns and rows stay."""
-    rows = scanned(docs, folder, docs.columns)
+    """docs with every found span of text replaced; all other columns and rows stay, whatever their names."""
+    held = [f"_c{i}" for i in range(len(docs.columns))]
+    inner = docs.toDF(*held).withColumn("text", F.col(held[docs.columns.index("text")]))
     step = "named_struct('at', greatest(a.at, x.end), 'out', if(x.start >= a.at, concat(a.out, substring(text, a.at + 1, x.start - a.at), '" + REDACTED + "'), a.out))"
     cut = F.expr(f"aggregate(found, named_struct('at', 0, 'out', ''), (a, x) -> {step}, a -> concat(a.out, substring(text, a.at + 1)))")
     text = F.when(F.size("found") > 0, cut).otherwise(F.col("text"))
-    return rows.select(*(text.alias(c) if c == "text" else F.col(c) for c in docs.columns))
+    return scanned(inner, folder, [*held, "text"]).select(*((text if c == "text" else F.col(h)).alias(c) for c, h in zip(docs.columns, held, strict=True)))
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -77,6 +77,8 @@ def scan(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> np.ndarr
 
 def messages(x: np.ndarray, starts: np.ndarray, trans: np.ndarray, initial: float) -> tuple[np.ndarray, np.ndarray]:
     """Forward and backward ratios (toxic to clean) of tokens with emissions x; starts marks the first tokens of documents."""
+    if not len(x):
+        return x, x
     one = np.ones_like(x)
     forward = scan(np.where(starts, 0, x * trans[1, 1]), np.where(starts, x * initial, x * trans[0, 1]), np.where(starts, 0, trans[1, 0]), np.where(starts, 1, trans[0, 0]))
     last, ahead = np.r_[starts[1:], True], np.r_[x[1:], 1.0]
