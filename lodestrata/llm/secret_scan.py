@@ -192,3 +192,41 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.array_sort(F.concat("assign", "access", "hex"))
     counts = [F.size(k).cast("long").alias(f"n_{k}") for k in KINDS[:3]]
     return scanned(docs, workspace(spark, "secrets"), ["doc_id"]).select("doc_id", *counts, F.sha2(_told(base), 256).alias("base_sha256"), _told(F.col("found")).alias("spans"))
+
+
+def oracle_sql() -> str:
+    """The same rows in DuckDB's SQL; doc_id has to be a key there."""
+    q = lambda x: "'" + x.replace("'", "''") + "'"
+    kinds = list(KINDS)
+    pats = {"assign": ASSIGN, "access": ACCESS, "hex": SCANNED["hex"], "random": CANDIDATE}
+    code = "CASE " + " ".join(f"WHEN regexp_matches(s, {q(x[0])}) THEN {i}" for i, x in enumerate(ENCODINGS.values())) + " END"
+    pick = lambda k: "CASE code " + " ".join(f"WHEN {i} THEN {q(x[k]) if isinstance(x[k], str) else x[k]}" for i, x in enumerate(ENCODINGS.values())) + " END"
+    one = lambda kind: f"SELECT doc_id, {q(kind)} AS kind, {kinds.index(kind)} AS ord, regexp_extract_all(x, {q(pats[kind])}) AS ms, string_split_regex(x, {q(pats[kind])}) AS ps FROM t"
+    return f"""
+WITH t AS (SELECT CAST(doc_id AS BIGINT) AS doc_id, coalesce(text, '') AS x FROM documents),
+m AS ({' UNION ALL '.join(map(one, kinds))}),
+u AS (SELECT doc_id, kind, ord, unnest(ms) AS m, unnest(ps[1:len(ms)]) AS p, unnest(range(1, len(ms) + 1)) AS i FROM m WHERE len(ms) > 0),
+v AS (SELECT *, CAST(sum(length(p) + length(m)) OVER (PARTITION BY doc_id, kind ORDER BY i) AS BIGINT) AS e FROM u),
+spans AS (SELECT doc_id, kind, ord, e - length(m) AS a, e AS b, m FROM v WHERE CASE kind WHEN 'assign' THEN length(regexp_extract(m, {q(ASSIGN)}, 2)) >= {LEAST['assign']} WHEN 'access' THEN length(m) >= {LEAST['access']} ELSE true END),
+base AS (SELECT * FROM spans WHERE kind <> 'random'),
+c0 AS (SELECT doc_id, a, b, rtrim(m, '=') AS s FROM spans r WHERE kind = 'random' AND NOT EXISTS (SELECT 1 FROM base z WHERE z.doc_id = r.doc_id AND z.a < r.b AND r.a < z.b)),
+c1 AS (SELECT *, {code} AS code FROM c0 WHERE length(s) >= 20 AND ((regexp_matches(s, '[0-9]') AND regexp_matches(s, '[A-Za-z]')) OR (regexp_matches(s, '[a-z]') AND regexp_matches(s, '[A-Z]')))),
+c2 AS (SELECT doc_id, a, b, code, CASE WHEN code = 0 THEN lower(s) ELSE s END AS s, {pick(1)} AS alphabet, CAST({pick(2)} AS DOUBLE) AS p2, CAST({pick(3)} AS DOUBLE) AS p3 FROM c1 WHERE code IS NOT NULL),
+c3 AS (SELECT *, CAST(length(alphabet) AS DOUBLE) AS k, CAST(length(s) AS DOUBLE) AS n, list_transform(string_split(s, ''), lambda y: CAST(instr(alphabet, y) - 1 AS DOUBLE)) AS v,
+  list_sum(list_transform(string_split(alphabet, ''), lambda y: pow(length(s) - length(replace(s, y, '')), 2))) AS squares FROM c2),
+c4 AS (SELECT *, (k - 1) / 2 AS mid FROM c3),
+c5 AS (SELECT *, CAST(len(list_filter(v, lambda y: y > mid)) AS DOUBLE) AS above,
+  1 + list_sum(list_transform(range(1, len(v)), lambda i: CASE WHEN (v[i] > mid) <> (v[i + 1] > mid) THEN 1.0 ELSE 0.0 END)) AS runs,
+  list_sum(list_transform(range(1, len(v)), lambda i: (v[i] - mid) * (v[i + 1] - mid))) AS products, list_sum(list_transform(v, lambda y: pow(y - mid, 2))) AS mass FROM c4),
+c6 AS (SELECT *, 2 * above * (n - above) / n + 1 AS expected, k / n * squares - n AS square, k * (1 + (n - 1) * p2) - n AS mean,
+  k / n * sqrt(2 * n * (n - 1) * (p2 + 2 * (n - 2) * p3 - (2 * n - 3) * p2 * p2)) AS sd, code * {len(BANDS) + 1} + {' + '.join(f'CAST(n >= {b} AS INT)' for b in BANDS)} AS stratum FROM c5),
+c7 AS (SELECT *, (runs - expected) / sqrt(greatest((expected - 1) * (expected - 2) / (n - 1), 1e-9)) AS zr, sqrt(n) * (products / greatest(mass, 1e-9) + 1 / n) AS zs, (square - mean) / sd AS z, 1 / (1 + 0.2316419 * abs((square - mean) / sd)) AS y FROM c6),
+c8 AS (SELECT doc_id, a, b, stratum, CASE WHEN abs(zr) <= {Z_LIMIT} AND abs(zs) <= {Z_LIMIT} THEN least(CAST(floor({BINS} * CASE WHEN z >= 0 THEN 0 ELSE (z * z / 2 + 0.9189385332046727) / 2.302585092994046 - log10(y * (0.319381530 + y * (-0.356563782 + y * (1.781477937 + y * (-1.821255978 + y * 1.330274429))))) END) AS INT), {LAST_BIN}) ELSE -1 END AS bin FROM c7),
+h AS (SELECT stratum, bin, count(*) AS n FROM c8 GROUP BY 1, 2),
+r AS (SELECT stratum, bin, sum(n) OVER (PARTITION BY stratum ORDER BY bin DESC) AS seen, sum(n) OVER (PARTITION BY stratum) AS total FROM h),
+least_bin AS (SELECT stratum, min(bin) AS bin FROM r WHERE bin > 0 AND pow(10, -bin / {float(BINS)}) <= {FDR} * seen / total GROUP BY 1),
+found AS (SELECT doc_id, kind, ord, a, b FROM base UNION ALL SELECT doc_id, 'random', 3, a, b FROM c8 JOIN least_bin l USING (stratum) WHERE c8.bin >= l.bin),
+told AS (SELECT doc_id, string_agg(concat(kind, ':', a, ':', b), ',' ORDER BY a, ord, b) AS spans, coalesce(string_agg(concat(kind, ':', a, ':', b), ',' ORDER BY a, ord, b) FILTER (kind <> 'random'), '') AS own,
+  count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex FROM found GROUP BY 1)
+SELECT t.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(own, '')) AS base_sha256, coalesce(spans, '') AS spans FROM t LEFT JOIN told USING (doc_id)
+"""
