@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 BRAND = "Brand#23"
 AGE = "CASE WHEN {k} % 13 = 0 THEN NULL WHEN {k} % 7 = 0 THEN '75 or over' WHEN {k} % 11 = 0 THEN '< 18' WHEN {k} % 17 = 0 THEN concat(CAST({k} % 90 AS {s}), '') WHEN {k} % 19 = 0 THEN 'n/a' ELSE concat(CAST(18 + {k} % 50 AS {s}), ' - ', CAST(27 + {k} % 50 AS {s})) END"
@@ -35,7 +34,3 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Review rows: an order line is a review, a part's brand its product."""
     return spark.sql(_reviews("STRING").replace("FROM lineitem JOIN part", "FROM {lineitem} JOIN {part}"), lineitem=table(spark, sf_dir, "lineitem"), part=table(spark, sf_dir, "part"))
-
-
-def text_id(*columns: str):
-    return F.concat_ws("-", *columns)
