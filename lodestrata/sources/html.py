@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 # HTML elements without an end tag.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-BLOCK = "review-details-holder"
-FIELDS = ("date", "user", "age", "gender", "patient_type", "medication_duration", "condition", "overall_rating", "effectiveness", "ease_of_use", "satisfaction", "likes", "dislikes", "textual_review")
+# Classes and texts of the review pages.
+BLOCK, RATE = "review-details-holder", "webmd-rate"
 MARKER = "On medication for"
+FIELDS = ("date", "user", "age", "gender", "patient_type", "medication_duration", "condition", "overall_rating", "effectiveness", "ease_of_use", "satisfaction", "likes", "dislikes", "textual_review")
 
 
 class Node:
@@ -91,7 +92,7 @@ def _first(texts: list[str]) -> str | None:
 
 
 def _rating(nodes: list[Node]) -> str | None:
-    rates = [r for n in nodes for r in n.find("div", part="webmd-rate")]
+    rates = [r for n in nodes for r in n.find("div", part=RATE)]
     return rates[0].attrs.get("aria-valuenow") if rates else None
 
 

@@ -24,7 +24,7 @@ def html_links(spark, d):
 def html_blocks(spark, d):
     """Review blocks put around each page's number, parsed back."""
     k = F.col("page_id").cast("string")
-    one = F.concat(F.lit('<div class="x review-details-holder"><div class="date">1/2/2024</div><div class="details"><span>U'), k, F.lit(' |</span><span>25-34 |</span><span>Female</span> | On medication for 1 year | <span>Patient</span></div><strong class="condition">Condition: Other</strong><div class="overall-rating"><div class="webmd-rate a" aria-valuenow="'), (F.col("page_id") % 5).cast("string"), F.lit('"></div></div><div class="description"><p class="description-text"><span class="showSec">"Good,</span><span class="hiddenSec"> really"</span></p></div></div>'))
+    one = F.concat(F.lit('<div class="x review-details-holder"><div class="date">1/2/2024</div><div class="details"><span>U'), k, F.lit(' |</span><span>25-34 |</span><span>Female</span> | On medication for 1 year | <span>Patient</span></div><strong class="condition">Condition: Other</strong><div class="overall-rating"><div class="'), F.lit(html.RATE), F.lit(' a" aria-valuenow="'), (F.col("page_id") % 5).cast("string"), F.lit('"></div></div><div class="description"><p class="description-text"><span class="showSec">"Good,</span><span class="hiddenSec"> really"</span></p></div></div>'))
     pages = table(spark, d, "pages").select("page_id", F.concat(F.lit("<body><br>"), F.when(F.col("page_id") % 2 == 0, F.concat(one, one)).otherwise(one)).alias("html"))
     return html.review_blocks(pages).select("page_id", F.col("block").cast("long").alias("block"), "date", "user", "age", "gender", "patient_type", "medication_duration", "condition", "overall_rating", "dislikes", "textual_review")
 
