@@ -18,8 +18,9 @@ A document's row of the incidence matrix is the set of its distinct 5-word shing
 Only ids, hashes and counts are shuffled. Links are never emitted as pairs of a group: a block yields its components.
 
 Defined cases: null and empty texts, and texts without words, have the empty set and link with nothing; fewer than five words are
-one shingle; texts of any length are read whole; doc_id identifies a document: rows that repeat it with equal text are returned
-each, with equal values; a null doc_id links with nothing; an empty table gives no row; other columns are ignored.
+one shingle; texts of any length are read whole; doc_id identifies a document: rows that repeat it are
+returned each, with their own size and the one component that any of them links to; a null doc_id links with nothing; an empty
+table gives no row; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -324,8 +325,8 @@ def _clusters(active: DataFrame, percent: int, folder: str) -> DataFrame:
     posts = posts.select("doc_id", "h", F.explode(F.array("band", F.col("band") + 1)).alias("band"))  # linked sizes share a band
     least = stored(posts.groupBy("h", "band").agg(F.min("doc_id").alias("b"), F.count("*").alias("m")).where("m > 1").drop("m"), f"{folder}/least")
     edges = posts.join(least, ["h", "band"]).where("doc_id != b").select(F.col("doc_id").alias("a"), "b").distinct()
-    found = components(edges, f"{folder}/clusters")
-    return active.join(found.withColumnRenamed("node", "doc_id").withColumnRenamed("component", "cluster"), "doc_id")
+    found = components(edges, f"{folder}/clusters").withColumnRenamed("node", "doc_id").withColumnRenamed("component", "cluster")
+    return active.join(small(found, found.count()), "doc_id")
 
 
 def _links(active: DataFrame, percent: int, folder: str, cluster_block: int) -> DataFrame:
@@ -371,13 +372,14 @@ def jaccard_components(docs: DataFrame, folder: str, percent: int = PERCENT, sha
     counts = blocks.groupBy("bucket").applyInArrow(_columns(False), COUNTS)
     sizes = stored(counts.groupBy("batch").applyInArrow(_sizes(share, percent), SIZES), f"{folder}/sizes")
     may = sizes.where("may_link").select("doc_id").distinct()
-    sets = stored(docs.join(small(may, may.count()), "doc_id").mapInArrow(_sets, SETS), f"{folder}/sets")
-    classes = stored(sets.groupBy("class").agg(F.min("doc_id").alias("rep")), f"{folder}/classes")
-    whole = sets.join(classes.withColumnRenamed("rep", "doc_id"), ["class", "doc_id"], "left_semi").select("doc_id", "shingles").dropDuplicates(["doc_id"])
+    sets = stored(docs.join(small(may, may.count()), "doc_id").mapInArrow(_sets, SETS).withColumn("uid", F.monotonically_increasing_id()), f"{folder}/sets")
+    classes = sets.groupBy("class").agg(F.min(F.struct("doc_id", "uid")).alias("first")).select("class", F.col("first.doc_id").alias("rep"), F.col("first.uid").alias("uid"))
+    classes = stored(classes, f"{folder}/classes")
+    whole = sets.join(small(classes.select("uid"), classes.count()), "uid", "left_semi").select("doc_id", "shingles")
     counts = whole.mapInArrow(_set_blocks(buckets), BLOCKS).groupBy("bucket").applyInArrow(_columns(True), COUNTS)
     active = stored(counts.groupBy("batch").applyInArrow(_prefixes(percent), ACTIVE), f"{folder}/active")
     found = _links(active, percent, folder, cluster_block)
-    ties = sets.select("doc_id", "class").distinct().join(classes, "class").join(found.withColumnRenamed("node", "rep"), "rep", "left")
+    ties = sets.select("doc_id", "class").distinct().join(classes.drop("uid"), "class").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     ties = ties.select("doc_id", F.coalesce("component", "rep").alias("component")).groupBy("doc_id").agg(F.min("component").alias("component")).where("doc_id != component")
     return sizes.join(ties, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
