@@ -387,3 +387,19 @@ def jaccard_components(docs: DataFrame, folder: str, percent: int = PERCENT, sha
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents under links of 5-word shingle Jaccard similarity of 0.75 or more."""
     return jaccard_components(table(spark, sf_dir, "documents"), workspace(spark, "ngrams"))
+
+
+#: The same rows by plain joins; for small tables.
+SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS l FROM documents),
+g AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(l) < 5 THEN l ELSE l[i:i + 4] END AS s FROM w, unnest(range(1, greatest(len(l) - 4, 1) + 1)) t(i) WHERE len(l) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM g a JOIN g b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * k >= 75 * (a.n + b.n - k)),
+links AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+r AS (SELECT doc_id AS d, doc_id AS c FROM documents UNION SELECT y, c FROM r JOIN links ON x = d),
+m AS (SELECT d, min(c) AS c FROM r GROUP BY 1)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, c AS component_id FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN m ON d = doc_id
+"""

@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_secret_scan": secret_scan.oracle_sql(), "op8_exact_topk": topk.SQL, "op10_warc": warc.SQL}
+    return {"op7_secret_scan": secret_scan.oracle_sql(), "op8_exact_topk": topk.SQL, "op9_ngram_jaccard": ngram_join.SQL, "op10_warc": warc.SQL}
