@@ -3,7 +3,9 @@
 Method: every text is cut into lines; a line is normalised (lower case, runs of white space as one blank, ends stripped) and
 digested. Digests are grouped globally; the occurrence that is first by (doc_id, line number) stays, the others are
 repeats. Repeats are removed where they form a passage: a run of repeated lines, blank lines aside, of at least MIN_WORDS
-words. So short lines that many documents happen to share stay where they are. Removed spans keep their original offsets.
+words, or all lines of a document. So short lines that many documents happen to share stay where they are. Removed spans keep
+their original offsets. A word is a run without white space, at most 16 characters at once, or one character of a script written
+without spaces.
 
 Digests are pre-aggregated before the shuffle, so that a line that a third of all rows hold is one partial row per task; the join
 back to the lines is a plain equi-join that adaptive execution splits where a digest is hot.
@@ -28,7 +30,8 @@ from .common import stored, table, workspace
 #: Words of the shortest run of repeated lines that is removed.
 MIN_WORDS = 20
 SPANS = T.ArrayType(T.StructType([T.StructField(c, T.LongType()) for c in ("start", "end", "kept_doc_id")]))
-_WORDS = re.compile(r"[^ \t\n\x0b\f\r]+")
+_ALONE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_WORDS = re.compile(f"[{_ALONE}]|[^ \\t\\n\\x0b\\f\\r{_ALONE}]{{1,16}}")
 
 
 def line_digests(docs: DataFrame) -> DataFrame:
@@ -54,6 +57,8 @@ def cut(text: str, kept: dict[int, int | None], min_words: int = MIN_WORDS) -> t
     for x in lines:
         starts.append(at)
         at += len(x) + 1
+    if all(i in kept or not _WORDS.search(x) for i, x in enumerate(lines)):
+        min_words = 0
     i = 0
     while i < len(lines):
         if i not in kept:

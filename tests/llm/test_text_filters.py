@@ -161,6 +161,13 @@ def test_repeated_passages_go_and_short_lines_stay(spark):
     assert substring_dedup.deduplicated(docs.where("doc_id > 999"), workspace(spark, "t")).count() == 0
 
 
+def test_short_copies_and_scripts_without_spaces_go(spark):
+    japanese = "".join(chr(0x4E00 + 7 * i) for i in range(70))
+    rows = [(3, japanese), (4, f"own\n{japanese}"), (6, "a copy"), (7, "a copy"), (8, "a copy\nand more"), (9, None), (11, "z" * 400), (12, "own line\n" + "z" * 400)]
+    found = {r.doc_id: r.text for r in substring_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"), workspace(spark, "t")).collect()}
+    assert found == {3: japanese, 4: "own", 6: "a copy", 7: "", 8: "a copy\nand more", 9: None, 11: "z" * 400, 12: "own line"}
+
+
 # pipeline
 
 
