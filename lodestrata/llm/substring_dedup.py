@@ -1,11 +1,16 @@
-"""Substring dedup by line hashing.
+"""Substring dedup by hashing lines and winnowed word windows.
 
 Method: every text is cut into lines; a line is normalised (lower case, runs of white space as one blank, ends stripped) and
 digested. Digests are grouped globally; the occurrence that is first by (doc_id, line number) stays, the others are
 repeats. Repeats are removed where they form a passage: a run of repeated lines, blank lines aside, of at least MIN_WORDS
 words, or all lines of a document. So short lines that many documents happen to share stay where they are. Removed spans keep
-their original offsets. A word is a run without white space, at most 16 characters at once, or one character of a script written
-without spaces.
+their original offsets.
+
+Passages inside lines, or across lines that differ elsewhere, are found by windows of WINDOW words: of every PICKED neighbouring
+windows the least by hash is a unit of the same grouping (winnowing), so two texts that share WINDOW + PICKED - 1 words share a
+unit whatever is around them. Repeated windows are cut from the lines that stay, where they leave MIN_WORDS words or more to cut; a
+passage's first and last PICKED - 1 words may stay. Every removed word has an earlier copy, so by induction its first one stays. A word is a run without white space, at most
+16 characters at once, or one character of a script written without spaces.
 
 Digests are pre-aggregated before the shuffle, so that a line that a third of all rows hold is one partial row per task; the join
 back to the lines is a plain equi-join that adaptive execution splits where a digest is hot.
@@ -17,9 +22,11 @@ any length are read whole; an empty table gives no row; other columns (whatever
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +37,12 @@ from .common import stored, table, workspace
 #: Words of the shortest run of repeated lines that is removed.
 MIN_WORDS = 20
 SPANS = T.ArrayType(T.StructType([T.StructField(c, T.LongType()) for c in ("start", "end", "kept_doc_id")]))
+#: Words of a window, and neighbouring windows of which one is picked: each shared run of 40 words holds a unit.
+WINDOW, PICKED, STEP = 25, 16, 12
+#: Windows are numbered behind all lines.
+FIRST_WINDOW = 1 << 40
+MEMO = 400_000
+UNIT = "doc_id long, line long, digest binary"
 _ALONE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
 _WORDS = re.compile(f"[{_ALONE}]|[^ \\t\\n\\x0b\\f\\r{_ALONE}]{{1,16}}")
 
@@ -38,20 +51,100 @@ def line_digests(docs: DataFrame) -> DataFrame:
     """doc_id, line, digest of every line that isn't blank."""
     lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("line", "unit"))
     unit = F.lower(F.trim(F.regexp_replace("unit", "[ \\t\\x0B\\f\\r]+", " ")))
-    return lines.withColumn("unit", unit).where("unit != ''").select("doc_id", "line", F.unhex(F.md5("unit")).alias("digest"))
-
-
-def repeats(docs: DataFrame) -> DataFrame:
-    """doc_id and its repeated lines, with the document that keeps each: array of (line, kept)."""
-    units = line_digests(docs)
+    return lines.withColumn("unit", unit).where("unit != ''").select("doc_id", F.col("line").cast("long").alias("line"), F.unhex(F.md5("unit")).alias("digest"))
+
+
+class Hashes(dict):
+    def __missing__(self, word: str) -> int:
+        value = int.from_bytes(hashlib.blake2b(word.lower().encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+        if len(self) >= MEMO:
+            self.clear()
+        self[word] = value
+        return value
+
+
+def picked(words: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and hashes of the picked windows over the word hashes of several texts; no window crosses from one text to the next."""
+    n = len(words) - WINDOW + 1
+    if n <= 0:
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    h = np.zeros(n, np.uint64)
+    for j in range(WINDOW):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + words[j : j + n]
+    for shift in (31, 29):
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(0xBF58476D1CE4E5B9)
+    none = np.uint64(2**64 - 1)
+    ends = np.repeat(np.cumsum(lengths), lengths)[:n]
+    h[np.arange(n) + WINDOW > ends] = none
+    pad = np.full(PICKED - 1, none)
+    least = np.lib.stride_tricks.sliding_window_view(np.r_[pad, h, pad], PICKED).min(axis=1)
+    most = np.lib.stride_tricks.sliding_window_view(np.where(least == none, 0, least), PICKED).max(axis=1)
+    at = np.flatnonzero((h == most) & (h != none))
+    if not len(at):
+        return at, h[at]
+    key = np.lexsort((at, h[at], ends[at]))  # one window over and over, as in periodic text: of those within STEP words one, and the last
+    place, same = at[key], np.r_[False, (np.diff(at[key]) < STEP) & (np.diff(ends[at[key]]) == 0) & (h[at[key]][1:] == h[at[key]][:-1])]
+    step = (place - place[np.maximum.accumulate(np.where(same, 0, np.arange(len(at))))]) // STEP
+    at = np.sort(place[~same | (np.diff(step, prepend=-1) != 0) | ~np.r_[same[1:], False]])
+    return at, h[at]
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    memo = Hashes()
+    for whole in batches:
+        for k in range(0, whole.num_rows, 512):
+            batch = whole.slice(k, 512)
+            found = [_WORDS.findall(x) if x else [] for x in batch.column("text").to_pylist()]
+            lengths = np.array([len(x) for x in found], np.int64)
+            at, h = picked(np.fromiter((memo[w] for x in found for w in x), np.uint64, int(lengths.sum())), lengths)
+            first = np.cumsum(lengths) - lengths
+            row = np.searchsorted(first, at, side="right") - 1
+            digests = pa.Array.from_buffers(pa.binary(8), len(h), [None, pa.py_buffer(h.tobytes())]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row)), pa.array(FIRST_WINDOW + at - first[row]), digests], names=["doc_id", "line", "digest"])
+
+
+def window_digests(docs: DataFrame) -> DataFrame:
+    """doc_id, line (FIRST_WINDOW and the window's first word), digest of every picked window."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_windows, UNIT)
+
+
+def repeats(docs: DataFrame, folder: str) -> DataFrame:
+    """doc_id and its repeated lines and windows, with the document that keeps each: array of (line, kept)."""
+    units = stored(line_digests(docs).unionByName(window_digests(docs)), f"{folder}/units")
     first = units.groupBy("digest").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n")).where("n > 1")
     later = units.join(first, "digest").where(~F.struct("doc_id", "line").eqNullSafe(F.col("first")))
     one = later.select("doc_id", F.struct("line", F.col("first.doc_id").alias("kept")).alias("hit")).groupBy("doc_id", "hit").agg(F.lit(1).alias("once"))
     return one.groupBy("doc_id").agg(F.collect_list("hit").alias("hits"))
 
 
+def _window_spans(text: str, windows: dict[int, int | None], starts: list[int], gone: set[int]) -> dict[int, list[tuple[int, int, int | None]]]:
+    """Line -> start, end and keeping document of its words in windows (first word -> document), where MIN_WORDS or more of them follow each other outside gone lines."""
+    places = [m.span() for m in _WORDS.finditer(text)]
+    lines = (np.searchsorted(starts, [a for a, _ in places], side="right") - 1).tolist()
+    words: list[tuple[int, int | None]] = []
+    done = 0
+    for at in sorted(windows):
+        words += [(w, windows[at]) for w in range(max(at, done), min(at + WINDOW, len(lines))) if lines[w] not in gone]
+        done = at + WINDOW
+    out: dict[int, list[tuple[int, int, int | None]]] = {}
+    i = 0
+    while i < len(words):
+        j = i + 1
+        while j < len(words) and words[j][0] == words[j - 1][0] + 1:
+            j += 1
+        for k in range(i, j if j - i >= MIN_WORDS else i):
+            w, own = words[k]
+            parts = out.setdefault(lines[w], [])
+            if k > i and parts and words[k - 1][1] == own:
+                parts[-1] = (parts[-1][0], places[w][1], own)
+            else:
+                parts.append((*places[w], own))
+        i = j
+    return out
+
+
 def cut(text: str, kept: dict[int, int | None], min_words: int = MIN_WORDS) -> tuple[str, list[dict[str, int | None]]]:
-    """The text without its repeated runs, and their spans; kept: repeated line -> the document that keeps it."""
+    """The text without its repeated runs and windows, and their spans; kept: repeated line or window -> the document that keeps it."""
     lines, out, spans, at = text.split("\n"), [], [], 0
     starts = []
     for x in lines:
@@ -59,10 +152,10 @@ def cut(text: str, kept: dict[int, int | None], min_words: int = MIN_WORDS) -> t
         at += len(x) + 1
     if all(i in kept or not _WORDS.search(x) for i, x in enumerate(lines)):
         min_words = 0
+    gone: set[int] = set()  # removed lines, and the blank ones between them
     i = 0
     while i < len(lines):
         if i not in kept:
-            out.append(lines[i])
             i += 1
             continue
         j, end, words = i, i, 0
@@ -72,12 +165,25 @@ def cut(text: str, kept: dict[int, int | None], min_words: int = MIN_WORDS) -> t
                 end = j + 1
             j += 1
         if words >= min_words:
-            for k in range(i, end):
-                if k in kept:
-                    spans.append({"start": starts[k], "end": starts[k] + len(lines[k]), "kept_doc_id": kept[k]})
-        else:
-            out += lines[i:end]
+            gone |= set(range(i, end))
         i = end
+    windows = {k - FIRST_WINDOW: v for k, v in kept.items() if k >= FIRST_WINDOW}
+    parts = _window_spans(text, windows, starts, gone) if windows else {}
+    for i, x in enumerate(lines):
+        end = starts[i] + len(x)
+        if i in gone:
+            if i in kept:
+                spans.append({"start": starts[i], "end": end, "kept_doc_id": kept[i]})
+        elif i in parts:
+            left, at = "", starts[i]
+            for a, b, own in parts[i]:
+                spans.append({"start": a, "end": b, "kept_doc_id": own})
+                left, at = left + text[at:a], b
+            left += text[at:end]
+            if _WORDS.search(left):
+                out.append(left)
+        else:
+            out.append(x)
     return "\n".join(out), spans
 
 
@@ -100,7 +206,7 @@ def _apply(names: list[str], min_words: int):
 
 def deduplicated(docs: DataFrame, folder: str, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with repeated passages cut out of text, and _removed, the spans in the original text (code points)."""
-    hits = stored(repeats(docs), f"{folder}/repeats").withColumnRenamed("doc_id", "_id").withColumnRenamed("hits", "_hits")
+    hits = stored(repeats(docs, folder), f"{folder}/repeats").withColumnRenamed("doc_id", "_id").withColumnRenamed("hits", "_hits")
     names = docs.columns
     joined = docs.join(hits, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left").drop("_id")
     return joined.mapInArrow(_apply(names, min_words), T.StructType([*docs.schema.fields, T.StructField("_removed", SPANS)]))

@@ -168,6 +168,27 @@ def test_short_copies_and_scripts_without_spaces_go(spark):
     assert found == {3: japanese, 4: "own", 6: "a copy", 7: "", 8: "a copy\nand more", 9: None, 11: "z" * 400, 12: "own line"}
 
 
+def test_passages_inside_lines_go(spark):
+    own = lambda k, n: " ".join(f"o{k}x{i}" for i in range(n))
+    words = [f"w{i}" for i in range(120)]
+    edited = " ".join([*words[:60], "other", *words[61:]])
+    japanese = "".join(chr(0x4E00 + 7 * i) for i in range(70))
+    rows = [(1, f"{own(1, 30)} {' '.join(words)} {own(2, 9)}"), (2, f"{own(3, 5)} {edited.upper()} {own(4, 30)}\nshort"), (3, japanese), (4, f"own\n{japanese}"), (5, f"x{japanese[:60]}y"), (6, "a copy"), (7, "a copy"), (8, "a copy\nand more"), (9, None), (10, "ba " * 9000)]
+    found = {r.doc_id: r for r in substring_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"), workspace(spark, "t")).collect()}
+    assert [found[k].text for k in (1, 3, 4, 6, 7, 8, 9)] == [rows[0][1], japanese, "own", "a copy", "", "a copy\nand more", None]
+    left = found[2].text.split("\n")[0].split()
+    kept = [w for w in left if w.startswith("W")]
+    assert len(left) - len(kept) == 36 and set(own(3, 5).split() + own(4, 30).split() + ["OTHER"]) == set(left) - set(kept)
+    assert len(kept) <= 4 * (substring_dedup.PICKED - 1) and found[2].text.endswith("short") and len(found[5].text) <= 32 and found[5].text[0] == "x"
+    assert 1 <= len(found[10].text.split()) <= substring_dedup.PICKED
+    for k, text in rows:
+        gone = set()
+        for s in found[k]["_removed"]:
+            assert text[s.start : s.end].strip() and not gone & set(range(s.start, s.end)) and s.kept_doc_id <= k
+            gone |= set(range(s.start, s.end))
+        assert "".join(c for i, c in enumerate(text or "") if i not in gone).split() == (found[k].text or "").split()
+
+
 # pipeline
 
 
