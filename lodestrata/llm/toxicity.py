@@ -6,7 +6,8 @@ labelled toxic, all others clean. On these token labels the field is trained by
 (forward-backward over all training tokens at once; all toxic rows and twice as many clean ones). A document's score is a
 logistic function, fitted on the same rows, of the greatest marginal's log-odds and of the expected number and share of toxic tokens.
 The fit reads a bounded sample: at most SAMPLE labelled rows, the first by a hash of the id, of at most SAMPLE_CHARS characters.
-Scoring reads every whole text and only the text.
+Scoring reads every whole text and only the text. A token is a run without white space; one of over LONGEST characters, as in scripts
+written without spaces, is cut into pieces of PIECE that overlap by OVERLAP, each a token.
 
 Forward and backward messages of a two-state field are ratios, and a step maps them by a Moebius transform. So a batch of
 documents is one long chain with resets, cut into equal runs: the maps of each run are composed, the runs' first messages follow,
@@ -36,15 +37,33 @@ from .common import table
 SAMPLE, SAMPLE_CHARS, FEATURES = 6_000, 20_000, 1 << 20
 LEAST_DOCS, LEAST_SHARE, LEAST_ODDS = 6, 0.01, 3.0
 CLEAN_SHARE, STEPS, RATE, DECAY = 2, 30, 0.5, 1e-6
+#: Characters of the longest token that is left whole and of the pieces of longer ones; pieces share as many as the longest substring
+#: feature has but one.
+LONGEST, PIECE, OVERLAP = 64, 16, 5
 MEMO, THRESHOLD, SPAN_MARGINAL = 400_000, 0.3, 0.5
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("marginal", T.DoubleType())]))
 _TOKEN = re.compile(r"\S+")
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 
 
+def tokens(text: str) -> list[tuple[int, int]]:
+    """Spans of the tokens: runs without white space; longer ones than LONGEST are cut into pieces that overlap, so no substring feature is lost."""
+    out = []
+    for m in _TOKEN.finditer(text):
+        a, b = m.span()
+        out += [(a, b)] if b - a <= LONGEST else [(i, min(i + PIECE, b)) for i in range(a, b - OVERLAP, PIECE - OVERLAP)]
+    return out
+
+
+def split(text: str) -> list[str]:
+    """The tokens of a text."""
+    words = text.split()
+    return words if all(len(w) <= LONGEST for w in words) else [text[a:b] for a, b in tokens(text)]
+
+
 def features(token: str) -> list[int]:
     """Hashed features of a token: the word, its prefixes of 3 to 6 and its substrings of 4 to 6 characters."""
-    word = _EDGES.sub("", token).lower()[:64]
+    word = _EDGES.sub("", token).lower()
     if not word:
         return [zlib.crc32(b"-") % FEATURES]
     found = {f"={word}"} | {f"^{word[:k]}" for k in range(3, min(6, len(word)) + 1)} | {word[i : i + k] for k in range(4, 7) for i in range(len(word) - k + 1)}
@@ -152,7 +171,7 @@ def fit(rows: list[tuple[str, int]]) -> Model | None:
     if not len(rows) or toxic.all() or not toxic.any():
         return None
     index: dict[str, int] = {}
-    words = [np.array([index.setdefault(w, len(index)) for w in text.split()], np.int32) for text, _ in rows]
+    words = [np.array([index.setdefault(w, len(index)) for w in split(text)], np.int32) for text, _ in rows]
     own = [np.array(features(w), np.int32) for w in index]
     starts_of = np.cumsum([0] + [len(x) for x in own])
     flat = np.concatenate(own) if own else np.empty(0, np.int32)
@@ -211,8 +230,7 @@ class Emissions(dict):
         value = float(self.theta[features(token)].sum())
         if len(self) >= MEMO:
             self.clear()
-        if len(token) <= 64:
-            self[token] = value
+        self[token] = value
         return value
 
 
@@ -220,7 +238,7 @@ def score_texts(model: Model, emissions: Emissions, texts: list[str], spans: boo
     """(scores, spans) of texts; spans are tokens whose marginal is at least SPAN_MARGINAL."""
     values, lengths = [], np.zeros(len(texts), np.int64)
     for k, text in enumerate(texts):
-        words = text.split()
+        words = split(text)
         lengths[k] = len(words)
         values.append(np.fromiter(map(emissions.__getitem__, words), float, len(words)))
     emission = np.concatenate(values) if values else np.empty(0)
@@ -234,7 +252,7 @@ def score_texts(model: Model, emissions: Emissions, texts: list[str], spans: boo
         hits = np.flatnonzero(p >= SPAN_MARGINAL)
         for k in np.unique(np.searchsorted(first, hits, side="right") - 1):
             at = hits[(hits >= first[k]) & (hits < first[k] + lengths[k])]
-            places = [m.span() for m in _TOKEN.finditer(texts[k])] if len(at) else []
+            places = tokens(texts[k]) if len(at) else []
             found[k] = [{"start": places[i - first[k]][0], "end": places[i - first[k]][1], "marginal": float(p[i])} for i in at]
     return scores, found
 

@@ -80,6 +80,22 @@ def test_scores_of_odd_texts(spark):
     assert {r["_score"] for r in toxicity.scored(docs, toxicity.fit([("a", 1)])).collect()} == {0.0}
 
 
+def test_long_tokens_are_scored_whole(spark):
+    model = toxicity.fit([(t, y) for _, t, y in corpus()])
+    digits = "0123456789" * 20
+    texts = [digits, f"{digits}grubash{digits}", f"{digits}vlorpix"] + ["".join(t.split()) for _, t, _ in corpus(seed=5)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r["_score"] for r in toxicity.scored(docs, model).collect()}
+    assert min(found[1], found[2]) > 10 * found[0]
+    hits = [y for k, _, y in corpus(seed=5) if found[k + 3] >= toxicity.THRESHOLD]
+    assert sum(hits) >= 15 and len(hits) == sum(hits)
+    for n in (1, 63, 64, 65, 69, 123, 124, 400):
+        spans = toxicity.tokens("z" * n)
+        assert spans[0][0] == 0 and spans[-1][1] == n and all(b - a <= 64 for a, b in spans)
+        assert set(range(n - 5)) == {i for a, b in spans for i in range(a, b - 5)}
+        assert [("z" * n)[a:b] for a, b in spans] == toxicity.split("z" * n)
+
+
 # secrets
 
 ASSIGN = re.compile(secret_scan.ASSIGN, re.ASCII)
