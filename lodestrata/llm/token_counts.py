@@ -5,7 +5,7 @@ An insert adds its count, a delete takes it away, a revision takes the old count
 Since the totals are additive, a batch is reduced to one signed row per group (partial sums before the shuffle, so a source that
 holds a third of all rows costs one row per task) and only these deltas are kept. A batch is committed by the writer's own
 commit: its folder is written whole or not at all, and a batch id that is committed is never applied again. Totals are the sums of
-the committed deltas; compaction folds them into one folder that names the batches it holds.
+the committed deltas; their folders aren't compacted, so reading them grows with the number of batches.
 
 Defined cases: null texts count 0 tokens; null source or language is a group of its own; rows that repeat are events each; an event
 whose operation is unknown is an error of the batch; an empty batch commits without rows; groups whose documents are all deleted
