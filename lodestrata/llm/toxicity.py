@@ -5,8 +5,9 @@ toxic documents have and few clean ones (near copies count once) are seeds; toke
 labelled toxic, all others clean. On these token labels the field is trained by gradient ascent on its log-likelihood
 (forward-backward over all training tokens at once; all toxic rows and twice as many clean ones). A document's score is a
 logistic function, fitted on the same rows, of the greatest marginal's log-odds and of the expected number and share of toxic tokens.
-The fit reads a bounded sample: at most SAMPLE labelled rows, the first by a hash of the id, of at most SAMPLE_CHARS characters.
-Scoring reads every whole text and only the text. A token is a run without white space; one of over LONGEST characters, as in scripts
+The fit reads a bounded sample: at most SAMPLE labelled rows, the first by a hash of the id, while their whole texts sum to at most
+SAMPLE_CHARS characters (a text that would exceed the rest is passed over). It runs in one executor task; only the parameters reach the
+driver. Scoring reads every whole text and only the text. A token is a run without white space; one of over LONGEST characters, as in scripts
 written without spaces, is cut into pieces of PIECE that overlap by OVERLAP, each a token.
 
 Forward and backward messages of a two-state field are ratios, and a step maps them by a Moebius transform. So a batch of
@@ -15,18 +16,20 @@ and then all runs advance together. This is exact and takes the same time for on
 
 Defined cases: null and empty texts have no token and the score of that; rows that repeat get equal scores; a null doc_id is
 scored, held_out null-safe false; rows of labels that repeat count once, by the greater label; without labels of both kinds every
-score is 0; an empty table gives no row; other columns are ignored (op2) or pass through (filtered).
+score is 0; of rows that share a labelled doc_id the least text is learnt from; an empty table gives no row; other columns are ignored
+(op2) or pass through whatever their names (filtered; in the result of scored, _score and _spans replace columns of that name).
 """
 
 from __future__ import annotations
 
+import pickle
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,40 +37,92 @@ from pyspark.sql import types as T
 from .common import table
 
 #: Bounds of the fit, and the hashed features (a table of 4 MB, which is broadcast).
-SAMPLE, SAMPLE_CHARS, FEATURES = 6_000, 20_000, 1 << 20
+SAMPLE, SAMPLE_CHARS, FEATURES = 6_000, 32_000_000, 1 << 20
 LEAST_DOCS, LEAST_SHARE, LEAST_ODDS = 6, 0.01, 3.0
 CLEAN_SHARE, STEPS, RATE, DECAY = 2, 30, 0.5, 1e-6
 #: Characters of the longest token that is left whole and of the pieces of longer ones; pieces share as many as the longest substring
 #: feature has but one.
 LONGEST, PIECE, OVERLAP = 64, 16, 5
-MEMO, THRESHOLD, SPAN_MARGINAL = 400_000, 0.3, 0.5
+THRESHOLD, SPAN_MARGINAL = 0.3, 0.5
+#: Bytes of text that are scored at once, and tokens of a step of the fit: they bound a worker's memory.
+BATCH_BYTES, FIT_TOKENS = 4_000_000, 200_000
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("marginal", T.DoubleType())]))
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("marginal", pa.float64())]))
 _TOKEN = re.compile(r"\S+")
-_EDGES = re.compile(r"^[\W_]+|[\W_]+$")
+_EDGES = r"^[^\pL\pM\pN]+|[^\pL\pM\pN]+$"
+_MULTIPLY, _POWERS = np.uint32(0x9E3779B1), np.cumprod(np.full(LONGEST + 1, 0x85EBCA6B, np.uint32), dtype=np.uint32)
+
+
+def _parts(a: int, b: int) -> list[tuple[int, int]]:
+    """A token's span, cut into pieces that overlap where it is longer than LONGEST, so no substring feature is lost."""
+    return [(a, b)] if b - a <= LONGEST else [(i, min(i + PIECE, b)) for i in range(a, b - OVERLAP, PIECE - OVERLAP)]
 
 
 def tokens(text: str) -> list[tuple[int, int]]:
-    """Spans of the tokens: runs without white space; longer ones than LONGEST are cut into pieces that overlap, so no substring feature is lost."""
-    out = []
-    for m in _TOKEN.finditer(text):
-        a, b = m.span()
-        out += [(a, b)] if b - a <= LONGEST else [(i, min(i + PIECE, b)) for i in range(a, b - OVERLAP, PIECE - OVERLAP)]
-    return out
+    """Spans of the tokens: runs without white space, long ones in pieces."""
+    return [part for m in _TOKEN.finditer(text) for part in _parts(*m.span())]
 
 
 def split(text: str) -> list[str]:
     """The tokens of a text."""
-    words = text.split()
-    return words if all(len(w) <= LONGEST for w in words) else [text[a:b] for a, b in tokens(text)]
-
-
-def features(token: str) -> list[int]:
-    """Hashed features of a token: the word, its prefixes of 3 to 6 and its substrings of 4 to 6 characters."""
-    word = _EDGES.sub("", token).lower()
-    if not word:
-        return [zlib.crc32(b"-") % FEATURES]
-    found = {f"={word}"} | {f"^{word[:k]}" for k in range(3, min(6, len(word)) + 1)} | {word[i : i + k] for k in range(4, 7) for i in range(len(word) - k + 1)}
-    return [zlib.crc32(x.encode()) % FEATURES for x in found]
+    return [text[a:b] for a, b in tokens(text)]
+
+
+def coded(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct tokens of texts, every token's position among them, and the tokens of each text."""
+    lists = pc.utf8_split_whitespace(texts.cast(pa.string()).fill_null(""))
+    told = lists.flatten().dictionary_encode()
+    words, codes = told.dictionary, told.indices.to_numpy(zero_copy_only=False)
+    size = pc.utf8_length(words).to_numpy(zero_copy_only=False)
+    first, count, more = np.arange(len(words)), (size > 0).astype(np.int64), []
+    for k in np.flatnonzero(size > LONGEST):
+        word = words[k].as_py()
+        first[k], count[k] = len(words) + len(more), len(_parts(0, len(word)))
+        more += [word[a:b] for a, b in _parts(0, len(word))]
+    if more:
+        words = pa.concat_arrays([words, pa.array(more, pa.string())])
+    counts = count[codes]
+    ends = np.r_[0, np.cumsum(counts)]
+    at = lists.offsets.to_numpy(zero_copy_only=False)
+    out = np.repeat(first[codes] - ends[:-1], counts) + np.arange(ends[-1])
+    return words, out.astype(np.int32), ends[at[1:] - at[0]] - ends[at[:-1] - at[0]]
+
+
+def _hashed(h: np.ndarray, kind: int) -> np.ndarray:
+    h = (h ^ np.uint32(kind * 0x27D4EB2F & 0xFFFFFFFF)) * _MULTIPLY
+    h = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
+    return ((h ^ (h >> np.uint32(13))) * _MULTIPLY >> np.uint32(12)).astype(np.int32)
+
+
+def features(words: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Hashed features and the words that have them: each word, its prefixes of 3 to 6 and its substrings of 4 to 6 characters.
+
+    Case and the punctuation at both ends don't count; a word of punctuation only has one feature.
+    """
+    if not len(words):
+        return
+    plain = pc.replace_substring_regex(pc.utf8_lower(words), _EDGES, "")
+    size = pc.utf8_length(plain).to_numpy(zero_copy_only=False).astype(np.int64)
+    chars = np.frombuffer("".join(plain.to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32)
+    first = np.cumsum(size) - size
+    owner = np.repeat(np.arange(len(size), dtype=np.int32), size)
+    place = np.arange(len(chars)) - first[owner]
+    left = (size[owner] - place).astype(np.int32)
+    whole = np.zeros(len(size), np.uint32)
+    if len(chars):
+        whole[size > 0] = np.add.reduceat((chars + np.uint32(1)) * _POWERS[np.minimum(place, LONGEST)], first[size > 0])
+    yield _hashed(whole, 1), np.arange(len(size), dtype=np.int32)
+    h = chars * _MULTIPLY
+    for k in range(2, 7):
+        if len(chars) < k:
+            return
+        h = (h[:-1] + chars[k - 1 :]) * _MULTIPLY
+        fits = left[: len(h)] >= k
+        if k >= 4:
+            yield _hashed(h[fits], 2), owner[: len(h)][fits]
+        if k >= 3:
+            fits &= place[: len(h)] == 0
+            yield _hashed(h[fits], 3), owner[: len(h)][fits]
 
 
 def scan(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> np.ndarray:
@@ -142,14 +197,14 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def _apart(texts: list[str]) -> np.ndarray:
-    """Positions of texts that share neither of two least shingle hashes with an earlier one: copies would count as evidence."""
+def _apart(word: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Positions of documents (word hashes, words of each) that share neither of two least hashes of three words with an earlier one: copies would count as evidence."""
     seen: set[tuple[int, int]] = set()
     out = []
-    for k, text in enumerate(texts):
-        words = text.lower().split()
-        hashes = [zlib.crc32(" ".join(words[i : i + 3]).encode()) for i in range(max(1, len(words) - 2))]
-        keys = {(0, min(hashes)), (1, min(h * 2654435761 % 2**32 for h in hashes))}
+    for k, (end, n) in enumerate(zip(np.cumsum(lengths), lengths, strict=True)):
+        own = np.r_[word[end - n : end].astype(np.uint64), np.zeros(max(0, 3 - n), np.uint64)]
+        h = ((own[:-2] * np.uint64(0x9E3779B97F4A7C15) + own[1:-1]) * np.uint64(0xBF58476D1CE4E5B9) + own[2:]) * np.uint64(0x94D049BB133111EB)
+        keys = {(0, int(h.min())), (1, int(((h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)).min()))}
         if not keys & seen:
             out.append(k)
         seen |= keys
@@ -165,129 +220,192 @@ def _seeds(docs: Iterator[np.ndarray], toxic: np.ndarray) -> np.ndarray:
     return np.flatnonzero((hits[1] >= max(LEAST_DOCS, LEAST_SHARE * n[1])) & (odds >= LEAST_ODDS))
 
 
+class _Features:
+    """The features of words, word after word."""
+
+    def __init__(self, flat: np.ndarray, count: np.ndarray):
+        self.flat, self.count, self.starts = flat, count, np.cumsum(count) - count
+
+    @classmethod
+    def of(cls, words: pa.Array) -> _Features:
+        found = list(features(words))
+        flat, owner = np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
+        return cls(flat[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(words)))
+
+    def some(self, which: np.ndarray) -> _Features:
+        count = self.count[which]
+        at = np.repeat(self.starts[which] - (np.cumsum(count) - count), count)
+        return _Features(self.flat[at + np.arange(len(at))], count)
+
+    def sums(self, theta: np.ndarray) -> np.ndarray:
+        """Of theta over the features of each word."""
+        return np.add.reduceat(theta[self.flat], self.starts).astype(np.float64)
+
+    def spread(self, values: np.ndarray) -> np.ndarray:
+        """Sum over the words of their values, by feature."""
+        out, step = np.zeros(FEATURES), 1_000_000
+        owner = np.repeat(np.arange(len(self.count), dtype=np.int32), self.count)
+        for k in range(0, len(owner), step):
+            out += np.bincount(self.flat[k : k + step], weights=values[owner[k : k + step]], minlength=FEATURES)
+        return out
+
+
+def _marks(lengths: np.ndarray) -> np.ndarray:
+    """First tokens of documents of these lengths."""
+    starts = np.zeros(lengths.sum(), bool)
+    starts[(np.cumsum(lengths) - lengths)[lengths > 0]] = True
+    return starts
+
+
+def _runs(lengths: np.ndarray, size: int) -> Iterator[slice]:
+    """Neighbouring documents of about size tokens."""
+    bucket, at = (np.cumsum(lengths) - lengths) // size, 0
+    for n in np.unique(bucket, return_counts=True)[1]:
+        yield slice(at, at + n)
+        at += n
+
+
 def fit(rows: list[tuple[str, int]]) -> Model | None:
     """The field and the score from labelled texts; None without both kinds."""
     toxic = np.array([bool(y) for _, y in rows], bool)
     if not len(rows) or toxic.all() or not toxic.any():
         return None
-    index: dict[str, int] = {}
-    words = [np.array([index.setdefault(w, len(index)) for w in split(text)], np.int32) for text, _ in rows]
-    own = [np.array(features(w), np.int32) for w in index]
-    starts_of = np.cumsum([0] + [len(x) for x in own])
-    flat = np.concatenate(own) if own else np.empty(0, np.int32)
-    if not index:
+    words, codes, lengths = coded(pa.array([text for text, _ in rows], pa.string()))
+    if not len(codes):
         return None
-    apart = _apart([text for text, _ in rows])
-    docs = (np.unique(np.concatenate([own[w] for w in np.unique(words[k])])) if len(words[k]) else np.empty(0, np.int32) for k in apart)
+    known = _Features.of(words)
+    ends = np.cumsum(lengths)
+    document = lambda k: codes[ends[k] - lengths[k] : ends[k]]
+    apart = _apart(known.flat[known.starts][codes], lengths)
+    docs = (np.unique(known.some(np.unique(document(k))).flat) for k in apart)
     seeds = np.zeros(FEATURES, bool)
     seeds[_seeds(docs, toxic[apart])] = True
-    seeded = np.logical_or.reduceat(seeds[flat], starts_of[:-1])
-
-    def chain(which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Tokens, document lengths and start marks of some rows."""
-        lengths = np.array([len(words[k]) for k in which])
-        starts = np.zeros(lengths.sum(), bool)
-        starts[(np.cumsum(lengths) - lengths)[lengths > 0]] = True
-        return np.concatenate([words[k] for k in which]), lengths, starts
+    seeded = np.logical_or.reduceat(seeds[known.flat], known.starts)
 
     used = np.sort(np.r_[np.flatnonzero(toxic), np.flatnonzero(~toxic)[: max(50, CLEAN_SHARE * int(toxic.sum()))]])
-    token, lengths, starts = chain(used)
-    gold = seeded[token] & np.repeat(toxic[used], lengths)
+    index, token = np.unique(np.concatenate([document(k) for k in used]), return_inverse=True)
+    own, sizes = known.some(index), lengths[used]
+    gold = seeded[index[token]] & np.repeat(toxic[used], sizes)
+    starts = _marks(sizes)
     inner = ~starts[1:]
-    del own, index
+    at = np.r_[0, np.cumsum(sizes)]
+    chains = [slice(at[run.start], at[run.stop]) for run in _runs(sizes, FIT_TOKENS) if at[run.stop] > at[run.start]]
     theta, rates = np.zeros(FEATURES), np.full(FEATURES, 1e-8)
     bias, shape = np.log((gold.sum() + 1) / (len(gold) + 2)), np.zeros(5)  # log transitions, log initial ratio
     rate2 = np.full(6, 1e-8)
     pair = np.array([[np.sum(inner & (gold[:-1] == i) & (gold[1:] == j)) for j in (0, 1)] for i in (0, 1)], float)
-    seen = np.bincount(token, weights=gold, minlength=len(starts_of) - 1)
+    seen = np.bincount(token, weights=gold, minlength=len(index))
     for _ in range(STEPS):
-        x = np.exp(np.clip(np.add.reduceat(theta[flat], starts_of[:-1])[token] + bias, -30, 30))
+        emission = np.exp(np.clip(own.sums(theta) + bias, -30, 30))
         trans, initial = np.exp(shape[:4]).reshape(2, 2), float(np.exp(shape[4]))
-        r, b = messages(x, starts, trans, initial)
-        p = r * b / (1 + r * b)
-        w = np.stack([np.full(len(x) - 1, trans[0, 0]), trans[0, 1] * x[1:] * b[1:], r[:-1] * trans[1, 0], r[:-1] * trans[1, 1] * x[1:] * b[1:]])
-        w = (w / w.sum(axis=0))[:, inner].sum(axis=1)
-        off = seen - np.bincount(token, weights=p, minlength=len(starts_of) - 1)
-        g = np.bincount(flat, weights=np.repeat(off, np.diff(starts_of)), minlength=FEATURES) - DECAY * len(token) * theta
+        pairs, first, total, off = np.zeros(4), 0.0, 0.0, seen.copy()
+        for chain in chains:
+            x, begins = emission[token[chain]], starts[chain]
+            r, b = messages(x, begins, trans, initial)
+            p = r * b / (1 + r * b)
+            w = np.stack([np.full(len(x) - 1, trans[0, 0]), trans[0, 1] * x[1:] * b[1:], r[:-1] * trans[1, 0], r[:-1] * trans[1, 1] * x[1:] * b[1:]])
+            pairs += (w / w.sum(axis=0))[:, ~begins[1:]].sum(axis=1)
+            first, total = first + p[begins].sum(), total + p.sum()
+            off -= np.bincount(token[chain], weights=p, minlength=len(index))
+        g = own.spread(off) - DECAY * len(token) * theta
         rates += g * g
         theta += RATE * g / np.sqrt(rates)
-        g2 = np.r_[pair.reshape(-1) - w, gold[starts].sum() - p[starts].sum(), gold.sum() - p.sum()]
+        g2 = np.r_[pair.reshape(-1) - pairs, gold[starts].sum() - first, gold.sum() - total]
         rate2 += g2 * g2
         step = 0.2 * g2 / np.sqrt(rate2)
         shape, bias = np.clip(shape + step[:5], -8, 8), bias + step[5]
-    model = Model(theta, np.exp(shape[:4]).reshape(2, 2), float(np.exp(shape[4])), float(bias), np.zeros(4))
-    token, lengths, starts = chain(np.arange(len(rows)))
-    p = model.marginals(np.add.reduceat(theta[flat], starts_of[:-1])[token], starts)
-    model.weights = _logistic(document_inputs(p, lengths), toxic.astype(float))
+    model = Model(theta.astype(np.float32), np.exp(shape[:4]).reshape(2, 2), float(np.exp(shape[4])), float(bias), np.zeros(4))
+    emission, inputs = known.sums(model.theta), []
+    for run in _runs(lengths, FIT_TOKENS):
+        own_codes = codes[ends[run.start] - lengths[run.start] : ends[run.stop - 1]]
+        inputs.append(document_inputs(model.marginals(emission[own_codes], _marks(lengths[run])), lengths[run]))
+    model.weights = _logistic(np.concatenate(inputs), toxic.astype(float))
     return model
 
 
-class Emissions(dict):
-    def __init__(self, theta: np.ndarray):
-        self.theta = theta
-
-    def __missing__(self, token: str) -> float:
-        value = float(self.theta[features(token)].sum())
-        if len(self) >= MEMO:
-            self.clear()
-        self[token] = value
-        return value
-
-
-def score_texts(model: Model, emissions: Emissions, texts: list[str], spans: bool = True):
+def score_texts(model: Model, texts: pa.Array) -> tuple[np.ndarray, list[list[dict]]]:
     """(scores, spans) of texts; spans are tokens whose marginal is at least SPAN_MARGINAL."""
-    values, lengths = [], np.zeros(len(texts), np.int64)
-    for k, text in enumerate(texts):
-        words = split(text)
-        lengths[k] = len(words)
-        values.append(np.fromiter(map(emissions.__getitem__, words), float, len(words)))
-    emission = np.concatenate(values) if values else np.empty(0)
+    words, codes, lengths = coded(texts)
+    weight = np.zeros(len(words))
+    for flat, owner in features(words):
+        weight += np.bincount(owner, weights=model.theta[flat], minlength=len(words))
     first = np.cumsum(lengths) - lengths
-    starts = np.zeros(len(emission), bool)
-    starts[first[lengths > 0]] = True
-    p = model.marginals(emission, starts)
+    p = model.marginals(weight[codes], _marks(lengths))
     scores = 1 / (1 + np.exp(-np.clip(document_inputs(p, lengths) @ model.weights, -30, 30)))
-    found: list[list[dict]] = [[] for _ in texts]
-    if spans:
-        hits = np.flatnonzero(p >= SPAN_MARGINAL)
-        for k in np.unique(np.searchsorted(first, hits, side="right") - 1):
-            at = hits[(hits >= first[k]) & (hits < first[k] + lengths[k])]
-            places = tokens(texts[k]) if len(at) else []
-            found[k] = [{"start": places[i - first[k]][0], "end": places[i - first[k]][1], "marginal": float(p[i])} for i in at]
+    found: list[list[dict]] = [[] for _ in range(len(texts))]
+    hits = np.flatnonzero(p >= SPAN_MARGINAL)
+    owner = np.searchsorted(first, hits, side="right") - 1  # the last document that starts there: empty ones stand before it
+    for k in np.unique(owner):
+        places = tokens(texts[k].as_py())
+        found[k] = [{"start": places[i - first[k]][0], "end": places[i - first[k]][1], "marginal": float(p[i])} for i in hits[owner == k]]
     return scores, found
 
 
+def _sized(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of about BATCH_BYTES of text each, a row at least."""
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    for run in _runs(size + 16, BATCH_BYTES):
+        yield batch.slice(run.start, run.stop - run.start)
+
+
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row, the model's parameters, out of the rows of the sample in their order."""
+    rows, left = [], SAMPLE_CHARS
+    for batch in batches:
+        for text, y in zip(batch.column("text"), batch.column("toxic").to_pylist(), strict=True):
+            text = text.as_py()
+            if len(text) <= left:
+                rows.append((text, y))
+                left -= len(text)
+    model = fit(rows)
+    if model:
+        some = np.flatnonzero(model.theta).astype(np.int32)
+        told = pickle.dumps((some, model.theta[some], model.trans, model.initial, model.bias, model.weights))
+        yield pa.RecordBatch.from_arrays([pa.array([told], pa.binary())], names=["model"])
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """Fit on at most `sample` labelled rows whose remainder isn't the held-out one."""
-    ids = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").where("doc_id is not null and toxic is not null and crc32(cast(doc_id as string)) % 4 != 2")
+    """Fit on at most `sample` labelled rows whose remainder isn't the held-out one, in one task; the driver gets some MB of parameters."""
+    ids = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null and crc32(cast(doc_id as string)) % 4 != 2")
     ids = ids.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).where(F.length("text") <= SAMPLE_CHARS)
-    found = texts.join(F.broadcast(ids), "doc_id").limit(2 * sample).toPandas().drop_duplicates("doc_id").sort_values("doc_id")
-    return fit(list(zip(found["text"], found["toxic"], strict=True)))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where(F.length("text") <= SAMPLE_CHARS)
+    rows = texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    found = rows.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id").mapInArrow(_fitted, "model binary").collect()
+    if not found:
+        return None
+    some, values, *rest = pickle.loads(found[0]["model"])
+    theta = np.zeros(FEATURES, np.float32)
+    theta[some] = values
+    return Model(theta, *rest)
 
 
-def scored(docs: DataFrame, model: Model | None) -> DataFrame:
-    """docs with _score and _spans, the offending tokens' offsets and marginals."""
-    kept = docs.sparkSession.sparkContext.broadcast(model)
-    names, held = docs.columns, {}
-    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("marginal", pa.float64())]))
+def _scored(docs: DataFrame, model: Model | None) -> DataFrame:
+    """docs under the names _0, _1, ..., with score and spans: names of docs can't clash."""
+    kept, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+    inner = docs.toDF(*(f"_{i}" for i in range(len(docs.columns)))).withColumn(f"_{at}", F.col(f"_{at}").cast("string"))
+    names = [*inner.columns, "score", "spans"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = kept.value
-        memo = held.setdefault("memo", Emissions(own.theta)) if own else None
+        model = kept.value
         for whole in batches:
-            for at in range(0, whole.num_rows, 2048):
-                batch = whole.slice(at, 2048)
-                texts = [x.as_py() or "" for x in batch.column(names.index("text"))]
-                scores, spans = score_texts(own, memo, texts) if own else (np.zeros(len(texts)), [[] for _ in texts])
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64()), pa.array(spans, kind)], names=[*names, "_score", "_spans"])
+            for batch in _sized(whole, at):
+                n = batch.num_rows
+                scores, spans = score_texts(model, batch.column(at)) if model else (np.zeros(n), [[]] * n)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64()), pa.array(spans, _SPANS)], names=names)
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_score", T.DoubleType()), T.StructField("_spans", SPANS)]))
+    return inner.mapInArrow(run, T.StructType([*inner.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("spans", SPANS)]))
+
+
+def scored(docs: DataFrame, model: Model | None) -> DataFrame:
+    """docs with _score and _spans, the offending tokens' offsets and marginals."""
+    own = [F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns) if c.lower() not in ("_score", "_spans")]
+    return _scored(docs, model).select(*own, F.col("score").alias("_score"), F.col("spans").alias("_spans"))
 
 
 def filtered(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs without those that score at least threshold."""
-    return scored(docs, train(docs, labels)).where(F.col("_score") < threshold).select(*docs.columns)
+    rows = _scored(docs, train(docs, labels)).where(F.col("score") < threshold)
+    return rows.select(*(F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns)))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
