@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,11 +15,20 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 2_000_000
 
 
+_MADE: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("made", default=None)
+
+
 def shared_root(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, set here only where it is unset."""
+    """Folder that driver and executors share: spark.checkpoint.dir, or the directory given to setCheckpointDir.
+
+    Where neither is set, a local master (one machine, one process) gets a temporary folder, as in tests; a cluster is an error, as no
+    folder is known to be shared there.
+    """
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not root:
+        if sc.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="lodestrata-")
         sc.setCheckpointDir(root)
     return root.rstrip("/")
@@ -27,7 +39,27 @@ def workspace(spark: SparkSession, name: str) -> str:
     root = shared_root(spark)
     if "://" not in root and not root.startswith("file:"):
         root = f"file://{root}"
-    return f"{root}/lodestrata/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{root}/lodestrata/{name}-{uuid.uuid4().hex[:12]}"
+    if (made := _MADE.get()) is not None:
+        made.append(path)
+    return path
+
+
+@contextlib.contextmanager
+def tracked() -> Iterator[list[str]]:
+    """The workspaces made inside the block, for a caller that has stored its result and removes them."""
+    made: list[str] = []
+    token = _MADE.set(made)
+    try:
+        yield made
+    finally:
+        _MADE.reset(token)
+
+
+def remove_all(spark: SparkSession) -> None:
+    """Delete every workspace under the shared root; results that weren't stored elsewhere go with them."""
+    root = shared_root(spark)
+    remove(spark, f"{root}/lodestrata")
 
 
 def remove(spark: SparkSession, path: str) -> None:
