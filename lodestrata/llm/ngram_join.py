@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -41,8 +41,8 @@ from .components import components
 WORDS, PERCENT = 5, 75
 #: Share of the hash space that the first bound looks at; more than a quarter is needed for any bound.
 SHARE = 0.4
-#: Documents and hashes of a row block, words in the memo, rows of a cluster block, random dealings of a large cluster.
-BLOCK_DOCS, BLOCK_HASHES, MEMO, CLUSTER_BLOCK, DEALINGS = 16_384, 2_000_000, 400_000, 512, 3
+#: Documents and hashes of a row block, bytes of text that are hashed at once, rows of a cluster block, random dealings of a large cluster.
+BLOCK_DOCS, BLOCK_HASHES, TEXT_BYTES, CLUSTER_BLOCK, DEALINGS = 16_384, 2_000_000, 500_000, 512, 3
 # Odd multipliers of the rolling combination of word hashes (any would do; fixed so that hashes are the same everywhere).
 MIX = tuple(np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63))
 
@@ -53,23 +53,39 @@ SETS = "doc_id long, n long, class binary, shingles binary"
 ACTIVE = "doc_id long, n long, shared binary, prefix array<long>"
 
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
-
-
-_HASHES = WordHashes()
-
-
-def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
-    """Sorted distinct hashes of the text's shingles."""
-    found = (text or "").encode().lower().split()  # of bytes: A-Z only, and the six white space characters
-    if not found:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(_HASHES.__getitem__, found), np.uint64, len(found))
+#: By byte: white space; and the lower case of A-Z.
+_WHITE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_LOWER = np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.arange(256) + 32, np.arange(256)).astype(np.uint64) + np.uint64(1)
+_PLACES = np.random.default_rng(5).integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, one after another, and the number of each text's words."""
+    blobs = [x.encode("utf-8", "surrogatepass") for x in texts]
+    data = np.frombuffer(b"\n".join(blobs) + b"\n", np.uint8)
+    white = _WHITE[data]
+    starts = np.flatnonzero(~white & np.r_[True, white[:-1]])
+    inside = np.flatnonzero(~white)
+    first = np.cumsum([0] + [len(x) + 1 for x in blobs[:-1]])
+    counts = np.diff(np.searchsorted(starts, np.r_[first, len(data)]))
+    if not len(starts):
+        return np.empty(0, np.uint64), counts
+    heads = np.searchsorted(inside, starts)
+    place = np.arange(len(inside)) - np.repeat(heads, np.diff(np.r_[heads, len(inside)]))
+    values = _LOWER[data[inside]] * _PLACES[place & 63]
+    if place.max() >= 64:  # of longer words, 64 bytes at a time
+        far = np.flatnonzero(place >= 64)
+        values[far] *= np.cumprod(np.full(int(place.max() >> 6), MIX[0]))[(place[far] >> 6) - 1]
+    h = np.add.reduceat(values, heads)
+    h = (h ^ (h >> np.uint64(32))) * MIX[1]
+    h = (h ^ (h >> np.uint64(29))) * MIX[2]
+    return h ^ (h >> np.uint64(32)), counts
+
+
+def _shingled(h: np.ndarray, words: int = WORDS) -> np.ndarray:
+    """Sorted distinct hashes of the shingles of a text's word hashes."""
+    if not len(h):
+        return h
     k = min(words, len(h))
     out = np.full(len(h) - k + 1, k, np.uint64)
     for i in range(k):
@@ -80,6 +96,18 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     return np.unique(out)
 
 
+def shingle_sets(batch: pa.RecordBatch, column: str = "text", words: int = WORDS) -> Iterator[np.ndarray]:
+    """Sorted distinct shingle hashes of each text of a batch; some TEXT_BYTES of text are hashed at once."""
+    at = 0
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 16
+    for n in np.unique((np.cumsum(size) - size) // TEXT_BYTES, return_counts=True)[1].tolist():
+        h, counts = word_hashes([x or "" for x in batch.column(column).slice(at, n).to_pylist()])
+        ends = np.cumsum(counts)
+        for low, high in zip(ends - counts, ends, strict=True):
+            yield _shingled(h[low:high], words)
+        at += n
+
+
 def _ints(blob: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(blob, kind)
 
@@ -125,7 +153,7 @@ def _blocks(rows: Iterator[tuple[int | None, np.ndarray]], share: float, buckets
 
 def _text_blocks(share: float, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = ((d, shingles(t.as_py())) for b in batches for d, t in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True))
+        rows = ((d, own) for b in batches for d, own in zip(b.column("doc_id").to_pylist(), shingle_sets(b), strict=True))
         yield from _blocks(rows, share, buckets, False)
 
     return run
@@ -238,8 +266,7 @@ def _prefixes(percent: int):
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: dict[str, list] = {"doc_id": [], "n": [], "class": [], "shingles": []}
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-            own = shingles(text.as_py())
+        for doc_id, own in zip(batch.column("doc_id").to_pylist(), shingle_sets(batch), strict=True):
             blob = own.tobytes()
             for name, x in zip(out, (doc_id, len(own), hashlib.blake2b(blob, digest_size=16).digest(), blob), strict=True):
                 out[name].append(x)

@@ -45,7 +45,7 @@ WINDOW, PICKED, STEP = 25, 16, 12
 #: Windows are numbered behind all lines.
 FIRST_WINDOW = 1 << 40
 #: Characters of the longest word, bytes of text that are digested at once, and the share of all units from which a digest is hot.
-LONGEST, BATCH_BYTES, HOT_SHARE = 16, 2_000_000, 1 / 4096
+LONGEST, BATCH_BYTES, HOT_SHARE = 16, 500_000, 1 / 4096
 UNIT = "doc_id long, line long, digest binary"
 # White space, and the blocks of scripts that are written without spaces.
 _WHITE = " \t\n\x0b\f\r"

@@ -44,8 +44,8 @@ CLEAN_SHARE, STEPS, RATE, DECAY = 2, 30, 0.5, 1e-6
 #: feature has but one.
 LONGEST, PIECE, OVERLAP = 64, 16, 5
 THRESHOLD, SPAN_MARGINAL = 0.3, 0.5
-#: Bytes of text that are scored at once, and tokens of a step of the fit: they bound a worker's memory.
-BATCH_BYTES, FIT_TOKENS = 4_000_000, 200_000
+#: Bytes of text that are scored at once, tokens of a step of the fit, and words whose features are made at once: they bound a worker's memory.
+BATCH_BYTES, FIT_TOKENS, FIT_WORDS = 1_000_000, 200_000, 50_000
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("marginal", T.DoubleType())]))
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("marginal", pa.float64())]))
 _TOKEN = re.compile(r"\S+")
@@ -79,11 +79,14 @@ def coded(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
         word = words[k].as_py()
         first[k], count[k] = len(words) + len(more), len(_parts(0, len(word)))
         more += [word[a:b] for a, b in _parts(0, len(word))]
-    if more:
-        words = pa.concat_arrays([words, pa.array(more, pa.string())])
+    at = lists.offsets.to_numpy(zero_copy_only=False)
+    if not more:  # but for empty ones, tokens are what they are
+        some = size[codes] > 0
+        ends = np.r_[0, np.cumsum(some)]
+        return words, codes[some], ends[at[1:] - at[0]] - ends[at[:-1] - at[0]]
+    words = pa.concat_arrays([words, pa.array(more, pa.string())])
     counts = count[codes]
     ends = np.r_[0, np.cumsum(counts)]
-    at = lists.offsets.to_numpy(zero_copy_only=False)
     out = np.repeat(first[codes] - ends[:-1], counts) + np.arange(ends[-1])
     return words, out.astype(np.int32), ends[at[1:] - at[0]] - ends[at[:-1] - at[0]]
 
@@ -228,14 +231,20 @@ class _Features:
 
     @classmethod
     def of(cls, words: pa.Array) -> _Features:
-        found = list(features(words))
-        flat, owner = np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
-        return cls(flat[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(words)))
+        flats, counts = [], []
+        for k in range(0, len(words), FIT_WORDS):
+            part = words.slice(k, FIT_WORDS)
+            found = list(features(part))
+            owner = np.concatenate([y for _, y in found])
+            flats.append(np.concatenate([x for x, _ in found])[np.argsort(owner, kind="stable")])
+            counts.append(np.bincount(owner, minlength=len(part)))
+        return cls(np.concatenate(flats), np.concatenate(counts))
 
     def some(self, which: np.ndarray) -> _Features:
         count = self.count[which]
-        at = np.repeat(self.starts[which] - (np.cumsum(count) - count), count)
-        return _Features(self.flat[at + np.arange(len(at))], count)
+        at = np.repeat((self.starts[which] - (np.cumsum(count) - count)).astype(np.int32), count)
+        at += np.arange(len(at), dtype=np.int32)
+        return _Features(self.flat[at], count)
 
     def sums(self, theta: np.ndarray) -> np.ndarray:
         """Of theta over the features of each word."""
@@ -243,10 +252,10 @@ class _Features:
 
     def spread(self, values: np.ndarray) -> np.ndarray:
         """Sum over the words of their values, by feature."""
-        out, step = np.zeros(FEATURES), 1_000_000
-        owner = np.repeat(np.arange(len(self.count), dtype=np.int32), self.count)
-        for k in range(0, len(owner), step):
-            out += np.bincount(self.flat[k : k + step], weights=values[owner[k : k + step]], minlength=FEATURES)
+        out, step = np.zeros(FEATURES), FIT_WORDS
+        for k in range(0, len(self.count), step):
+            low, high = self.starts[k], self.starts[k + step] if k + step < len(self.count) else len(self.flat)
+            out += np.bincount(self.flat[low:high], weights=np.repeat(values[k : k + step], self.count[k : k + step]), minlength=FEATURES)
         return out
 
 
@@ -290,7 +299,7 @@ def fit(rows: list[tuple[str, int]]) -> Model | None:
     inner = ~starts[1:]
     at = np.r_[0, np.cumsum(sizes)]
     chains = [slice(at[run.start], at[run.stop]) for run in _runs(sizes, FIT_TOKENS) if at[run.stop] > at[run.start]]
-    theta, rates = np.zeros(FEATURES), np.full(FEATURES, 1e-8)
+    theta, rates = np.zeros(FEATURES, np.float32), np.full(FEATURES, 1e-8, np.float32)
     bias, shape = np.log((gold.sum() + 1) / (len(gold) + 2)), np.zeros(5)  # log transitions, log initial ratio
     rate2 = np.full(6, 1e-8)
     pair = np.array([[np.sum(inner & (gold[:-1] == i) & (gold[1:] == j)) for j in (0, 1)] for i in (0, 1)], float)
@@ -308,13 +317,13 @@ def fit(rows: list[tuple[str, int]]) -> Model | None:
             first, total = first + p[begins].sum(), total + p.sum()
             off -= np.bincount(token[chain], weights=p, minlength=len(index))
         g = own.spread(off) - DECAY * len(token) * theta
-        rates += g * g
-        theta += RATE * g / np.sqrt(rates)
+        rates += (g * g).astype(np.float32)
+        theta += (RATE * g / np.sqrt(rates)).astype(np.float32)
         g2 = np.r_[pair.reshape(-1) - pairs, gold[starts].sum() - first, gold.sum() - total]
         rate2 += g2 * g2
         step = 0.2 * g2 / np.sqrt(rate2)
         shape, bias = np.clip(shape + step[:5], -8, 8), bias + step[5]
-    model = Model(theta.astype(np.float32), np.exp(shape[:4]).reshape(2, 2), float(np.exp(shape[4])), float(bias), np.zeros(4))
+    model = Model(theta, np.exp(shape[:4]).reshape(2, 2), float(np.exp(shape[4])), float(bias), np.zeros(4))
     emission, inputs = known.sums(model.theta), []
     for run in _runs(lengths, FIT_TOKENS):
         own_codes = codes[ends[run.start] - lengths[run.start] : ends[run.stop - 1]]
