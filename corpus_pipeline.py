@@ -2,7 +2,12 @@
 secrets, packed into sequences.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read again as the next one's docs. All but
-the last return the columns of documents; n_chars follows the text where a stage changes it.
+the last return the columns of documents, whatever their names; n_chars follows the text where a stage changes it.
+
+Defined cases, for every stage: an empty table gives an empty one of the same columns. Null and empty texts are kept as they are by the
+filters, link with nothing, hold no passage and no secret, and are packed as the one id 0. A null doc_id is kept, ranks first, and is no
+copy of another. Rows that repeat a doc_id stay or go together; whole repeated rows are kept, as ids tell documents apart. Without
+labels of both kinds no document is toxic. Texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -12,7 +17,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.llm import ngram_join, packing, secret_scan, substring_dedup, toxicity
 from lodestrata.llm.bpe import vocabulary
-from lodestrata.llm.common import stored, table, workspace
+from lodestrata.llm.common import remove, small, stored, table, tracked, workspace
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -28,14 +33,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the least doc_id of each component of near copies, and all others."""
     groups = ngram_join.jaccard_components(docs, workspace(spark, "pipeline-ngrams"))
-    later = groups.where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    later = groups.where("doc_id != component_id").select(F.col("doc_id").alias("gone")).distinct()
     later = stored(later, workspace(spark, "pipeline-near"))
-    return docs.join(ngram_join.small(later, later.count()), F.col("doc_id") == F.col("_gone"), "left_anti")
+    inner = docs.toDF(*(f"_{i}" for i in range(len(docs.columns))))
+    kept = inner.join(small(later, later.count()), F.col(f"_{docs.columns.index('doc_id')}").cast("long") == F.col("gone"), "left_anti")
+    return kept.select(*(F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns)))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that an earlier one holds."""
-    return _counted(substring_dedup.deduplicated(docs, workspace(spark, "pipeline-repeats")).drop("_removed"))
+    return _counted(substring_dedup.replaced(docs, workspace(spark, "pipeline-repeats")))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +61,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in order over the table of documents; what a stage wrote for itself is removed once its result is stored."""
     docs, folder = table(spark, sf_dir, "documents"), workspace(spark, "pipeline")
     for k, (name, stage) in enumerate(STAGES):
-        docs = stored(stage(spark, docs, sf_dir), f"{folder}/{k}-{name}")
+        with tracked() as made:
+            docs = stored(stage(spark, docs, sf_dir), f"{folder}/{k}-{name}")
+        for path in made:
+            remove(spark, path)
     return docs
