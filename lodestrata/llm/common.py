@@ -68,9 +68,15 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def stored(df: DataFrame, path: str, partitions: int | None = None) -> DataFrame:
-    """Write df and read it back: a cut in the lineage that outlives lost executors."""
-    (df.coalesce(partitions) if partitions else df).write.mode("overwrite").parquet(path)
+def stored(df: DataFrame, path: str, large_cells: bool = False) -> DataFrame:
+    """Write df and read it back: a cut in the lineage that outlives lost executors.
+
+    large_cells: cells of megabytes that don't compress, such as hashes; their pages are then bounded by size from the first row on.
+    """
+    writer = df.write.mode("overwrite")
+    if large_cells:
+        writer = writer.options(**{"compression": "none", "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1", "parquet.enable.dictionary": "false"})
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -4,7 +4,8 @@ A document's row of the incidence matrix is the set of its distinct 5-word shing
 100 * |A and B| >= 75 * |A or B|; then each shares all but a quarter of its shingles with the other.
 
 1. Columns by blocks: the rows are cut into blocks of documents and of hash ranges. Over a fixed share of the hash space, the
-   columns that a second document has are found block by block; their numbers per document add up over the blocks. A document
+   columns that a second document has are found block by block; their numbers per document add up over the blocks. A block sends one
+   entry for a column, however many of its documents have it, so a hot column is as many entries as there are blocks. A document
    with more unshared shingles than a quarter of its set can't link and is discarded. That leaves the rows of real groups.
 2. Those rows are built whole; rows with equal sets are one class, kept by its least doc_id.
 3. The product of the classes' rows is again blocked: column counts by hash range give every row its shared columns and their
@@ -26,6 +27,7 @@ table gives no row; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,12 +44,17 @@ WORDS, PERCENT = 5, 75
 #: Share of the hash space that the first bound looks at; more than a quarter is needed for any bound.
 SHARE = 0.4
 #: Documents and hashes of a row block, bytes of text that are hashed at once, rows of a cluster block, random dealings of a large cluster.
-BLOCK_DOCS, BLOCK_HASHES, TEXT_BYTES, CLUSTER_BLOCK, DEALINGS = 16_384, 2_000_000, 500_000, 512, 3
+BLOCK_DOCS, BLOCK_HASHES, TEXT_BYTES, CLUSTER_BLOCK, DEALINGS = 16_384, 1_000_000, 500_000, 512, 3
+#: Products of outsiders with the rows of their clusters from which the log has a warning.
+LARGE_PRODUCT = 10**10
 # Odd multipliers of the rolling combination of word hashes (any would do; fixed so that hashes are the same everywhere).
 MIX = tuple(np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63))
 
 BLOCKS = "bucket int, batch long, docs binary, sizes binary, local binary, hashes binary"
-COUNTS = "batch long, docs binary, sizes binary, local binary, hashes binary, df binary"
+COUNTS = "batch long, docs binary, sizes binary, local binary, df binary"
+WHOLE = "bucket int, batch long, docs binary, sizes binary, local binary, hashes binary, df binary"
+#: In place of a document's number: the column is shared within its row block already, and its documents know that.
+SHARED = 0xFFFF
 SIZES = "doc_id long, n long, may_link boolean"
 SETS = "doc_id long, n long, class binary, shingles binary"
 ACTIVE = "doc_id long, n long, shared binary, prefix array<long>"
@@ -118,107 +125,116 @@ def _batch(schema: str, columns: dict[str, list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[n], kinds[k]) for n, k in fields], names=[n for n, _ in fields])
 
 
-def _blocks(rows: Iterator[tuple[int | None, np.ndarray]], share: float, buckets: int, wide: bool) -> Iterator[pa.RecordBatch]:
-    """Row blocks cut by hash range. wide: whole hashes are sent, else their low half, which within a range tells nearly all apart."""
-    limit, part = int(share * 2**64), TaskContext.get().partitionId() << 32
-    top = np.uint64(min(limit, 2**64 - 1))
-    width = np.uint64(-(-limit // buckets))
-    ids, sizes, sampled, held, number = [], [], [], 0, 0
-
-    def flush() -> pa.RecordBatch:
-        batch = part | number
-        local = np.repeat(np.arange(len(ids), dtype=np.uint16), [len(x) for x in sampled])
-        h = np.concatenate(sampled)
-        order = np.argsort(h, kind="stable")
-        h, local = h[order], local[order]
-        cuts = np.flatnonzero(np.diff((h // width).astype(np.int64))) + 1
-        columns: dict[str, list] = {"bucket": [-1 - batch % buckets], "batch": [batch], "docs": [np.array(ids, np.int64).tobytes()], "sizes": [np.array(sizes, np.int64).tobytes()], "local": [None], "hashes": [None]}
-        for hs, ls in zip(np.split(h, cuts), np.split(local, cuts), strict=True):
-            if len(hs):
-                for name, x in (("bucket", int(hs[0] // width)), ("batch", batch), ("docs", None), ("sizes", None), ("local", ls.tobytes()), ("hashes", hs.tobytes() if wide else hs.astype(np.uint32).tobytes())):
-                    columns[name].append(x)
-        return _batch(BLOCKS, columns)
-
+def _row_blocks(rows: Iterator[tuple[int | None, np.ndarray]], share: float, most: int = BLOCK_HASHES) -> Iterator[tuple[int, list[int], list[np.ndarray], list[int]]]:
+    """Blocks of rows: number, ids, hashes within the share, sizes of the whole sets."""
+    top, number = np.uint64(min(int(share * 2**64), 2**64 - 1)), TaskContext.get().partitionId() << 32
+    ids, sampled, sizes, held = [], [], [], 0
     for doc_id, own in rows:
         ids.append(-(2**63) if doc_id is None else doc_id)
-        sampled.append(own if share >= 1 else own[: np.searchsorted(own, top)])
-        sizes.append(len(own) | len(sampled[-1]) << 32)  # the whole set's size, and the size within the share
+        sampled.append(own if share >= 1 else own[: np.searchsorted(own, top)].copy())
+        sizes.append(len(own))
         held += len(sampled[-1])
-        if len(ids) >= BLOCK_DOCS or held >= BLOCK_HASHES:
-            yield flush()
-            ids, sizes, sampled, held, number = [], [], [], 0, number + 1
+        if len(ids) >= BLOCK_DOCS or held >= most:
+            yield number, ids, sampled, sizes
+            ids, sampled, sizes, held, number = [], [], [], 0, number + 1
     if ids:
-        yield flush()
+        yield number, ids, sampled, sizes
+
+
+def _postings(sampled: list[np.ndarray], width: np.uint64) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A block's distinct hashes in order, the documents of each and their number, and where a new hash range begins."""
+    local = np.repeat(np.arange(len(sampled), dtype=np.uint16), [len(x) for x in sampled])
+    h = np.concatenate(sampled)
+    order = np.argsort(h, kind="stable")
+    h, local = h[order], local[order]
+    first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.empty(0, np.int64)
+    h, counts = h[first], np.diff(np.r_[first, len(h)])
+    return h, local, counts, np.flatnonzero(np.diff((h // width).astype(np.int64))) + 1
 
 
 def _text_blocks(share: float, buckets: int):
+    """Row blocks cut by hash range: of every column one entry, and only the low half of its hash, which within a range tells nearly all apart.
+
+    A column that two documents of the block have is shared: they are told so here, and its entry only tells other blocks.
+    """
+    width = np.uint64(-(-int(share * 2**64) // buckets))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = ((d, own) for b in batches for d, own in zip(b.column("doc_id").to_pylist(), shingle_sets(b), strict=True))
-        yield from _blocks(rows, share, buckets, False)
+        for batch, ids, sampled, sizes in _row_blocks(rows, share):
+            h, local, counts, cuts = _postings(sampled, width)
+            known = np.bincount(local[np.repeat(counts > 1, counts)], minlength=len(ids))
+            both = np.array(sizes, np.int64) | (np.array([len(x) for x in sampled]) - known) << 32  # whole size, and columns not yet known to be shared
+            first = np.cumsum(counts) - counts
+            one = np.where(counts > 1, SHARED, local[first]).astype(np.uint16) if len(h) else local
+            columns: dict[str, list] = {"bucket": [-1 - batch % buckets], "batch": [batch], "docs": [np.array(ids, np.int64).tobytes()], "sizes": [both.tobytes()], "local": [None], "hashes": [None]}
+            for hs, ls in zip(np.split(h, cuts), np.split(one, cuts), strict=True):
+                if len(hs):
+                    for name, x in (("bucket", int(hs[0] // width)), ("batch", batch), ("docs", None), ("sizes", None), ("local", ls.tobytes()), ("hashes", hs.astype(np.uint32).tobytes())):
+                        columns[name].append(x)
+            yield _batch(BLOCKS, columns)
 
     return run
 
 
-def _set_blocks(buckets: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = ((d, _ints(s.as_py(), "<u8")) for b in batches for d, s in zip(b.column("doc_id").to_pylist(), b.column("shingles"), strict=True))
-        yield from _blocks(rows, 1.0, buckets, True)
+def _columns(rows: pa.Table) -> pa.Table:
+    """Of a hash range: per row block, the documents whose column another block has too, and how many such columns. Other rows pass."""
+    out: dict[str, list] = {x.split(" ")[0]: [] for x in COUNTS.split(", ")}
 
-    return run
+    def put(*values):
+        for name, x in zip(out, values, strict=True):
+            out[name].append(x)
 
+    batches = rows.column("batch").to_pylist()
+    if rows.column("bucket")[0].as_py() < 0:
+        for b, d, n in zip(batches, rows.column("docs").to_pylist(), rows.column("sizes").to_pylist(), strict=True):
+            put(b, d, n, None, None)
+        return pa.Table.from_batches([_batch(COUNTS, out)])
+    hashes, local = [_ints(x.as_py(), "<u4") for x in rows.column("hashes")], [_ints(x.as_py(), "<u2") for x in rows.column("local")]
+    which = np.repeat(np.arange(len(batches)), [len(x) for x in hashes])
+    h, at = np.concatenate(hashes), np.concatenate(local)
+    order = np.argsort(h, kind="stable")
+    h, at, which = h[order], at[order], which[order]
+    same = h[1:] == h[:-1]
+    keep = (np.r_[False, same] | np.r_[same, False]) & (at != SHARED)
+    at, which = at[keep], which[keep]
+    order = np.argsort(which, kind="stable")
+    at, which = at[order], which[order]
+    for k, own in enumerate(np.split(at, np.searchsorted(which, np.arange(1, len(batches))))):
+        if len(own):
+            docs, counts = np.unique(own, return_counts=True)
+            put(batches[k], None, None, docs.tobytes(), counts.astype("<u4").tobytes())
+    return pa.Table.from_batches([_batch(COUNTS, out)])
 
-def _columns(wide: bool):
-    """Of a hash range: per row block, the postings whose column a second document has (wide: with hash and frequency)."""
-    kind = "<u8" if wide else "<u4"
 
-    def run(rows: pa.Table) -> pa.Table:
-        out: dict[str, list] = {x.split(" ")[0]: [] for x in COUNTS.split(", ")}
-
-        def put(batch, docs=None, sizes=None, local=None, hashes=None, df=None):
-            for name, x in zip(out, (batch, docs, sizes, local, hashes, df), strict=True):
-                out[name].append(x)
+def _set_blocks(buckets: int):
+    """Row blocks of whole sets: a row (bucket -1) with all postings, and one for each hash range with its columns and their counts."""
+    width = np.uint64(-(-(2**64) // buckets))
 
-        bucket = rows.column("bucket")[0].as_py()
-        batches, hashes, local = rows.column("batch").to_pylist(), [], []
-        if bucket < 0:
-            for b, d, s in zip(batches, rows.column("docs").to_pylist(), rows.column("sizes").to_pylist(), strict=True):
-                put(b, d, s)
-            return pa.Table.from_batches([_batch(COUNTS, out)])
-        hashes = [_ints(x.as_py(), kind) for x in rows.column("hashes")]
-        local = [_ints(x.as_py(), "<u2") for x in rows.column("local")]
-        which = np.repeat(np.arange(len(batches)), [len(x) for x in hashes])
-        h, at = np.concatenate(hashes), np.concatenate(local)
-        order = np.argsort(h, kind="stable")
-        h, at, which = h[order], at[order], which[order]
-        first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-        df = np.diff(np.r_[first, len(h)])
-        df = np.repeat(df, df)
-        keep = df > 1
-        h, at, which, df = h[keep], at[keep], which[keep], df[keep]
-        order = np.argsort(which, kind="stable")
-        h, at, which, df = h[order], at[order], which[order], df[order]
-        for k, own in enumerate(np.split(np.arange(len(which)), np.searchsorted(which, np.arange(1, len(batches))))):
-            if len(own):
-                if wide:
-                    put(batches[k], local=at[own].tobytes(), hashes=h[own].tobytes(), df=np.minimum(df[own], 2**31 - 1).astype("<u4").tobytes())
-                else:
-                    docs, counts = np.unique(at[own], return_counts=True)
-                    put(batches[k], local=docs.tobytes(), df=counts.astype("<u4").tobytes())
-        return pa.Table.from_batches([_batch(COUNTS, out)])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((d, _ints(s.as_py(), "<u8")) for b in batches for d, s in zip(b.column("doc_id").to_pylist(), b.column("shingles"), strict=True))
+        for batch, ids, sampled, sizes in _row_blocks(rows, 1.0, 150_000):
+            h, local, counts, cuts = _postings(sampled, width)
+            counts = counts.astype("<u4")
+            columns = {"bucket": [-1], "batch": [batch], "docs": [np.array(ids, np.int64).tobytes()], "sizes": [np.array(sizes, np.int64).tobytes()], "local": [local.tobytes()], "hashes": [h.tobytes()], "df": [counts.tobytes()]}
+            for hs, cs in zip(np.split(h, cuts), np.split(counts, cuts), strict=True):
+                if len(hs):
+                    for name, x in (("bucket", int(hs[0] // width)), ("batch", batch), ("docs", None), ("sizes", None), ("local", None), ("hashes", hs.tobytes()), ("df", cs.tobytes())):
+                        columns[name].append(x)
+            yield _batch(WHOLE, columns)
 
     return run
 
 
-def _head(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, list[dict]]:
-    """A row block's ids and sizes, and its parts from the hash ranges."""
-    ids = sizes = None
-    parts = []
-    for x in rows.select(["docs", "sizes", "local", "hashes", "df"]).to_pylist():
-        if x["docs"] is not None:
-            ids, sizes = _ints(x["docs"], "<i8"), _ints(x["sizes"], "<i8")
-        else:
-            parts.append(x)
-    return ids, sizes, parts
+def _frequencies(rows: pa.Table) -> pa.Table:
+    """Of a hash range: the frequency over all blocks of each block's columns, in the block's order. A block has one entry for a column."""
+    hashes, counts = [_ints(x.as_py(), "<u8") for x in rows.column("hashes")], [_ints(x.as_py(), "<u4") for x in rows.column("df")]
+    _, at = np.unique(np.concatenate(hashes), return_inverse=True)
+    df = np.minimum(np.bincount(at, weights=np.concatenate(counts)), 2**31 - 1).astype("<u4")[at]
+    ends = np.cumsum([len(x) for x in hashes])
+    told = [df[end - len(x) : end].tobytes() for x, end in zip(hashes, ends, strict=True)]
+    none = [None] * rows.num_rows
+    return pa.Table.from_batches([_batch(WHOLE, {"bucket": rows.column("bucket").to_pylist(), "batch": rows.column("batch").to_pylist(), "docs": none, "sizes": none, "local": none, "hashes": none, "df": told})])
 
 
 def spare(n, percent: int = PERCENT):
@@ -226,15 +242,21 @@ def spare(n, percent: int = PERCENT):
     return n - (n * percent + 99) // 100
 
 
-def _sizes(share: float, percent: int):
+def _sizes(percent: int):
     def run(rows: pa.Table) -> pa.Table:
-        ids, both, parts = _head(rows)
-        n, sampled = both & 0xFFFFFFFF, both >> 32
+        ids = both = None
+        parts = []
+        for x in rows.select(["docs", "sizes", "local", "df"]).to_pylist():
+            if x["docs"] is not None:
+                ids, both = _ints(x["docs"], "<i8"), _ints(x["sizes"], "<i8")
+            else:
+                parts.append(x)
+        n, unshared = both & 0xFFFFFFFF, both >> 32
         shared = np.zeros(len(ids), np.int64)
         for x in parts:
             shared[_ints(x["local"], "<u2")] += _ints(x["df"], "<u4")
         known = ids != -(2**63)
-        may = known & (n > 0) & (sampled - shared <= spare(n, percent))
+        may = known & (n > 0) & (unshared - shared <= spare(n, percent))
         return pa.Table.from_batches([pa.RecordBatch.from_arrays([pa.array(ids, mask=~known), pa.array(n), pa.array(may)], names=["doc_id", "n", "may_link"])])
 
     return run
@@ -242,13 +264,15 @@ def _sizes(share: float, percent: int):
 
 def _prefixes(percent: int):
     def run(rows: pa.Table) -> pa.Table:
-        ids, both, parts = _head(rows)
-        n = both & 0xFFFFFFFF
+        told = sorted(rows.select(["bucket", "docs", "sizes", "local", "hashes", "df"]).to_pylist(), key=lambda x: x["bucket"])
+        head, parts = told[0], told[1:]
+        ids, n = _ints(head["docs"], "<i8"), _ints(head["sizes"], "<i8")
         out: dict[str, list] = {"doc_id": [], "n": [], "shared": [], "prefix": []}
         if parts:
-            at = np.concatenate([_ints(x["local"], "<u2") for x in parts])
-            h = np.concatenate([_ints(x["hashes"], "<u8") for x in parts])
-            df = np.concatenate([_ints(x["df"], "<u4") for x in parts])
+            df = np.concatenate([_ints(x["df"], "<u4") for x in parts])  # ranges are in the order of hashes
+            counts = np.where(df > 1, _ints(head["df"], "<u4"), 0)
+            at = _ints(head["local"], "<u2")[np.repeat(df > 1, _ints(head["df"], "<u4"))]
+            h, df = np.repeat(_ints(head["hashes"], "<u8"), counts), np.repeat(df, counts)
             order = np.lexsort((h, df, at))
             at, h = at[order], h[order]
             starts = np.searchsorted(at, np.arange(len(ids) + 1))
@@ -383,6 +407,9 @@ def _links(active: DataFrame, percent: int, folder: str, cluster_block: int) ->
     outside = outside.withColumn("part", F.pmod(F.xxhash64("doc_id"), blocks)).withColumn("chunk", F.floor(number / cluster_block)).withColumn("chunk", F.xxhash64("part", "chunk"))
     outside = stored(outside.select("cluster", "m", "chunk", "n", "shared", "label"), f"{folder}/outside")
     chunks = stored(outside.select("cluster", "chunk").distinct(), f"{folder}/chunks")
+    product = outside.agg(F.sum("m")).first()[0] or 0
+    if product > LARGE_PRODUCT:
+        logging.getLogger(__name__).warning("%d pairs of outsiders and rows of their clusters are multiplied: the clusters hold few links for their size", product)
     left = outside.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     right = label.select("cluster", F.pmod(F.xxhash64("doc_id"), blocks).alias("block"), "n", "shared", "label").join(chunks, "cluster")
     keys = ("cluster", "chunk", "block")
@@ -396,15 +423,16 @@ def jaccard_components(docs: DataFrame, folder: str, percent: int = PERCENT, sha
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     buckets = max(32, 2 * input_splits(docs))
     blocks = docs.mapInArrow(_text_blocks(share, buckets), BLOCKS)
-    counts = blocks.groupBy("bucket").applyInArrow(_columns(False), COUNTS)
-    sizes = stored(counts.groupBy("batch").applyInArrow(_sizes(share, percent), SIZES), f"{folder}/sizes")
+    counts = blocks.groupBy("bucket").applyInArrow(_columns, COUNTS)
+    sizes = stored(counts.groupBy("batch").applyInArrow(_sizes(percent), SIZES), f"{folder}/sizes")
     may = sizes.where("may_link").select("doc_id").distinct()
     sets = stored(docs.join(small(may, may.count()), "doc_id").mapInArrow(_sets, SETS).withColumn("uid", F.monotonically_increasing_id()), f"{folder}/sets")
     classes = sets.groupBy("class").agg(F.min(F.struct("doc_id", "uid")).alias("first")).select("class", F.col("first.doc_id").alias("rep"), F.col("first.uid").alias("uid"))
     classes = stored(classes, f"{folder}/classes")
     whole = sets.join(small(classes.select("uid"), classes.count()), "uid", "left_semi").select("doc_id", "shingles")
-    counts = whole.mapInArrow(_set_blocks(buckets), BLOCKS).groupBy("bucket").applyInArrow(_columns(True), COUNTS)
-    active = stored(counts.groupBy("batch").applyInArrow(_prefixes(percent), ACTIVE), f"{folder}/active")
+    blocks = stored(whole.mapInArrow(_set_blocks(buckets), WHOLE), f"{folder}/blocks", large_cells=True)
+    counts = blocks.where("bucket >= 0").select("bucket", "batch", "hashes", "df").groupBy("bucket").applyInArrow(_frequencies, WHOLE)
+    active = stored(blocks.where("bucket < 0").unionByName(counts).groupBy("batch").applyInArrow(_prefixes(percent), ACTIVE), f"{folder}/active")
     found = _links(active, percent, folder, cluster_block)
     ties = sets.select("doc_id", "class").distinct().join(classes.drop("uid"), "class").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     ties = ties.select("doc_id", F.coalesce("component", "rep").alias("component")).groupBy("doc_id").agg(F.min("component").alias("component")).where("doc_id != component")

@@ -61,3 +61,24 @@ def test_repeated_rows_null_ids_clashing_columns_and_empty_table(spark):
     found = sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in ngram_join.jaccard_components(docs, workspace(spark, "t")).collect())
     assert found == [(0, 2, 0), (1, 2, 1), (1, 2, 1), (2, 2, 1)]
     assert ngram_join.jaccard_components(docs.where("doc_id > 9"), workspace(spark, "t")).count() == 0
+
+
+def test_a_hot_column_is_one_entry_of_a_row_block(spark):
+    """A passage that a third of all rows hold: no hash range gets more entries of a column than there are blocks."""
+    rng = random.Random(7)
+    passage = " ".join(f"p{i}" for i in range(12))
+    rows = [(k, (f"{passage} " if k % 3 == 0 else "") + " ".join(f"u{rng.randrange(10**6)}" for _ in range(20))) for k in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    blocks = docs.mapInArrow(ngram_join._text_blocks(1.0, 4), ngram_join.BLOCKS).collect()
+    assert sum(r.docs is not None for r in blocks) == 3
+    entries = Counter((r.bucket, h) for r in blocks if r.bucket >= 0 for h in memoryview(r.hashes).cast("I"))
+    assert max(entries.values()) <= 3
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(docs, workspace(spark, "t")).collect()}
+    assert found == brute(rows)
+
+
+def test_long_words_and_case():
+    texts = ["x" * 200 + " y", "X" * 200 + "  Y\n", "x" * 199 + "z y", "É é", "", " \t", "a b"]
+    h, counts = ngram_join.word_hashes(texts)
+    assert counts.tolist() == [2, 2, 2, 2, 0, 0, 1]
+    assert h[0] == h[2] and h[1] == h[3] == h[5] and len(set(h.tolist())) == 6
