@@ -1,12 +1,12 @@
 """Best-fit packing of documents into sequences by hierarchical residual packing.
 
-Method: documents are tokenised and cut into pieces; full pieces are sequences at once. The others are dealt by a hash into
+Method: documents are tokenised and cut into pieces; full pieces are sequences at once. The others are stored, numbered, and dealt by a hash of the number into
 groups of bounded size, and each group is packed by best fit, longest first. Nearly full bins are emitted. The underfull bins
 become items themselves and are merged, group by group up a tree, by repeated best fit, until one group is left or merging
 no longer shrinks what remains.
 
 Defined cases: null and empty texts are the one id 0; texts of any length are cut into pieces of the sequence length, of which the
-first may be shorter; rows that repeat are packed once each (a repeated doc_id too); ties go to the smaller doc_id; an empty table
+first may be shorter; rows that repeat are packed once each (a repeated or null doc_id too, however often); ties go to the row that was stored first; an empty table
 gives no row; other columns are ignored.
 """
 
@@ -106,10 +106,10 @@ def packed(items: DataFrame, folder: str, capacity: int = SEQUENCE, group_items:
     named = stored(named.select(*(x.split()[0] for x in PACKED.split(", "))), f"{folder}/items")
     finished, left, number = [named.where("done")], named.where("not done"), 1
     n = left.count()
-    groups, key = max(1, -(-n // group_items)), F.xxhash64("doc_id", "piece")
+    groups = max(1, -(-n // group_items))
     while n:
         after = max(-(-groups // FAN_IN), 1)
-        dealt = left.withColumn("grp", F.pmod(key, F.lit(groups)))
+        dealt = left.withColumn("grp", F.pmod(F.xxhash64("sequence_id"), F.lit(groups)))  # unique to an item, as doc_id needn't be
         rows = stored(dealt.groupBy("grp").applyInArrow(_round(number, capacity, nearly_full, groups == 1), PACKED), f"{folder}/round{number}")
         finished.append(rows.where("done"))
         left, number = rows.where("not done"), number + 1
@@ -118,7 +118,7 @@ def packed(items: DataFrame, folder: str, capacity: int = SEQUENCE, group_items:
         if n and groups > 1 and max(after, least) >= groups:  # merging no longer shrinks what is left
             finished.append(left)
             break
-        groups, key = max(after, least), F.xxhash64("sequence_id")
+        groups = max(after, least)
     return reduce(DataFrame.unionByName, finished).drop("done")
 
 

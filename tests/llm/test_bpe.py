@@ -66,3 +66,23 @@ def test_round_trip_of_nulls_and_empty_tables(spark):
     assert bpe.round_trip(docs.where("doc_id > 9"), bpe.vocabulary()).count() == 0
     both = bpe.decoded(bpe.encoded(docs, bpe.vocabulary()), bpe.vocabulary())
     assert {(r.text or "") == r.decoded for r in both.collect()} == {True}
+
+
+def test_batches_equal_the_library(own):
+    """Words side by side, long ones, odd bytes; a memo that overflows within a step."""
+    library, machine, _, _ = own
+    rng = random.Random(3)
+    texts = [" ".join("".join(rng.choice("aeioustrnlé中\U0001f642_1") for _ in range(rng.choice([1, 3, 6, 12, 70, 300]))) + rng.choice(["", ",", "\n", "<|endoftext|>"]) for _ in range(rng.randint(0, 40))) for _ in range(300)]
+    texts += ["", " ", "x" * 5000, "y" * 4097 + " " + "z" * 65, "\x00\x01 \x7f"]
+    texts += [" a", "b ", "\n\nc d", "e\n f", "\u3000 g", " \u3000", "<|endoftext|>"]
+    for text, ids in zip(texts, machine.encode_texts(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
+    words = [w.encode() for w in {w for t in texts for w in t.split()}]
+    ids, counts = machine.encode_all(np.frombuffer(b"".join(words), np.uint8), np.array([len(w) for w in words]))
+    paths = [machine.encode_word(w) for w in words]
+    assert counts.tolist() == [len(p) for p in paths] and ids.tolist() == [t for p in paths for t in p]
+    assert list(machine.encode_texts([])) == []
+    keys = np.unique(np.random.default_rng(1).integers(0, 1 << 40, 3000))
+    table = bpe.Table(2 * len(keys))
+    table.add(keys[::2], np.arange(len(keys[::2]), dtype=np.int32))
+    assert table.get(keys).tolist() == [k // 2 if k % 2 == 0 else -1 for k in range(len(keys))]

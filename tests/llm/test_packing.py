@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 import zlib
 from collections import defaultdict
 
@@ -60,3 +61,13 @@ def test_documents_with_nulls_long_texts_and_repeats(spark):
         want += [(doc_id, k, s, n, zlib.crc32(ids[s : s + n].tobytes())) for k, (s, n) in enumerate(packing.cut(len(ids), 2048))]
     assert sorted((tuple(r)[:5] for r in found), key=repr) == sorted(want, key=repr)
     assert packing.pack_documents(docs.where("doc_id > 9"), bpe.vocabulary(), workspace(spark, "t")).count() == 0
+
+
+def test_one_id_in_all_rows_is_dealt_evenly(spark):
+    rows = [(None if k % 3 else 7, 0, 0, 1 + k * 37 % 900, k) for k in range(6000)]
+    items = spark.createDataFrame(rows, packing.PIECES).repartition(5)
+    out = packing.packed(items, workspace(spark, "t"), 2048, group_items=500).collect()
+    assert sorted((r.doc_id or 0, r.length, r.ids_crc32) for r in out) == sorted((r[0] or 0, r[3], r[4]) for r in rows)
+    first = Counter(r.sequence_id >> 24 & 0xFFFFFFFF for r in out if r.sequence_id >> 56 == 1)
+    assert len(first) == 12 and max(first.values()) < 700
+    assert len({r.sequence_id for r in out}) <= -(-sum(r[3] for r in rows) // 2048) + 3
