@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -12,12 +13,53 @@ from pyspark.sql import functions as F
 
 # HTML elements without an end tag.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-# Classes and texts of the review pages.
-BLOCK, RATE = "review-details-holder", "webmd-rate"
-MARKER = "On medication for"
+# The class of a review block, and the columns of a review in order.
+BLOCK = "review-details-holder"
 FIELDS = ("date", "user", "age", "gender", "patient_type", "medication_duration", "condition", "overall_rating", "effectiveness", "ease_of_use", "satisfaction", "likes", "dislikes", "textual_review")
 
 
+@dataclass(frozen=True)
+class Place:
+    """Where a field stands: nodes, the texts or the attribute read there, which one of them, and how it is cleaned."""
+
+    path: str
+    attr: str | None = None  # read instead of the nodes' own texts
+    at: int = 0
+    skip: tuple[str, ...] = ()  # texts that don't count as positions
+    without: tuple[str, ...] = ()
+    only_with: str = ""
+    default: str | None = None
+
+
+RATE, MARKER = "webmd-rate", "On medication for"
+_SPAN, _RATED = "div.details >span", f"div~{RATE}"
+# Places of the fields. In a path, a blank leads to descendants and > to children; .x is the whole class, ~x a part of
+# it, #n the node's number.
+PLACES = {
+    "date": Place("div.date"),
+    "user": Place(_SPAN, at=0, skip=("",), without=("|",)),
+    "age": Place(_SPAN, at=1, skip=("",), without=("|",)),
+    "gender": Place(_SPAN, at=2, skip=("",), without=("|",)),
+    "patient_type": Place(_SPAN, at=-1, skip=("",), only_with="Patient"),
+    "medication_duration": Place("div.details", skip=("", "|"), without=(MARKER, "|")),
+    "condition": Place("strong.condition", without=("Condition: ",)),
+    "overall_rating": Place(f"div.overall-rating {_RATED}", attr="aria-valuenow"),
+    "effectiveness": Place(f"div.categories >section#0 {_RATED}", attr="aria-valuenow"),
+    "ease_of_use": Place(f"div.categories >section#1 {_RATED}", attr="aria-valuenow"),
+    "satisfaction": Place(f"div.categories >section#2 {_RATED}", attr="aria-valuenow"),
+    "likes": Place("div~like-dislikes div.helpful span.likes"),
+    "dislikes": Place("div~like-dislikes div.not-helpful span.dislikes", default="0"),
+}
+# Of a details text split at bars, the part that fills a field without a value, and what that part must hold.
+PARTS = {"user": (0, ""), "age": (1, ""), "gender": (2, ""), "medication_duration": (3, MARKER), "patient_type": (4, "")}
+# The review's text, the first kind that a block has: paths, and what joins their texts.
+BODY = "div.description p.description-text"
+BODIES = (((f"{BODY} span~showSec", f"{BODY} span~hiddenSec"), ""), ((BODY,), " "))
+
+
+_STEP = re.compile(r"(>?)(\w+)(?:\.([\w-]+))?(?:~([\w-]+))?(?:#(\d+))?")
+
+
 class Node:
     def __init__(self, tag: str, attrs: dict[str, str | None], parent: Node | None):
         self.tag, self.attrs, self.parent, self.items = tag, attrs, parent, []
@@ -43,9 +85,15 @@ class Node:
             else:
                 yield from x.all_text()
 
-    def find(self, tag: str, cls: str | None = None, part: str | None = None) -> list[Node]:
-        """Descendants of a tag whose class is cls, or contains part."""
-        return [n for n in self.nodes() if n.tag == tag and (cls is None or n.cls == cls) and (part is None or part in n.cls)]
+    def find(self, path: str) -> list[Node]:
+        """Nodes at the end of a path."""
+        found = [self]
+        for child, tag, exact, part, number in _STEP.findall(path):
+            near = (x for n in found for x in (n.nodes() if not child else (y for y in n.items if isinstance(y, Node))))
+            found = [x for x in near if x.tag == tag and exact in ("", x.cls) and part in x.cls]
+            if number:
+                found = found[int(number) :][:1]
+        return found
 
 
 class _Tree(HTMLParser):
@@ -86,54 +134,41 @@ def tree(html: str | None) -> Node:
     return parser.root
 
 
-def _first(texts: list[str]) -> str | None:
-    """The first text, stripped; null if blank."""
-    return (texts[0].strip() or None) if texts else None
-
-
-def _rating(nodes: list[Node]) -> str | None:
-    rates = [r for n in nodes for r in n.find("div", part=RATE)]
-    return rates[0].attrs.get("aria-valuenow") if rates else None
+def _read(block: Node, place: Place) -> str | None:
+    """The value at a place; null where it is blank or not there, unless the place has a default."""
+    nodes = block.find(place.path)
+    told = [n.attrs.get(place.attr) or "" for n in nodes] if place.attr else [t.strip() for n in nodes for t in n.texts()]
+    told = [t for t in told if t not in place.skip]
+    value = next(iter(told[place.at :]), "")
+    if place.only_with not in value:
+        value = ""
+    for mark in place.without:
+        value = value.replace(mark, "")
+    return value.strip() or place.default
+
+
+def _body(block: Node) -> str:
+    """The review's text without white space and quotes around it: the long form, else the short one, else any text of the description."""
+    for paths, joint in BODIES:
+        told = [t.strip() for path in paths for n in block.find(path) for t in n.texts()]
+        if joint:
+            told = list(filter(None, told))
+        if told:
+            break
+    else:
+        told, joint = [t.strip() for n in block.find("div.description")[:1] for t in n.all_text() if t.strip()][:1], ""
+    return joint.join(told).strip().strip('"')
 
 
 def review(block: Node) -> dict[str, str | None]:
-    """The fields of a review block; details are positional, and gaps are filled from the bar-separated text."""
-    details = block.find("div", cls="details")
-    spans = [t.strip() for d in details for s in d.items if isinstance(s, Node) and s.tag == "span" for t in s.texts() if t.strip()]
-    at = lambda i: (spans[i].replace("|", "").strip() if spans[i] != "|" else None) if len(spans) > i else None
-    out: dict[str, str | None] = dict.fromkeys(FIELDS)
-    out |= {"date": _first([t for d in block.find("div", cls="date") for t in d.texts()]), "user": at(0), "age": at(1), "gender": at(2)}
-    for text in (t.strip() for d in details for t in d.texts()):
-        if text and text != "|":
-            out["medication_duration"] = text.replace(MARKER, "").replace("|", "").strip()
-            break
-    if spans and "Patient" in spans[-1]:
-        out["patient_type"] = spans[-1]
-    condition = _first([t for n in block.find("strong", cls="condition") for t in n.texts()])
-    out["condition"] = condition.replace("Condition: ", "").strip() if condition else condition
-    out["overall_rating"] = _rating(block.find("div", cls="overall-rating"))
-    sections = [s for c in block.find("div", cls="categories") for s in c.items if isinstance(s, Node) and s.tag == "section"]
-    for k, name in enumerate(("effectiveness", "ease_of_use", "satisfaction")):
-        out[name] = _rating(sections[k : k + 1])
-    marks = lambda outer, inner: [t for b in block.find("div", part="like-dislikes") for d in b.find("div", cls=outer) for s in d.find("span", cls=inner) for t in s.texts()]
-    out["likes"] = _first(marks("helpful", "likes"))
-    out["dislikes"] = _first(marks("not-helpful", "dislikes")) or "0"
-    described = block.find("div", cls="description")
-    body = [p for d in described for p in d.find("p", cls="description-text")]
-    long = [t.strip() for part in ("showSec", "hiddenSec") for p in body for s in p.find("span", part=part) for t in s.texts()]
-    text = "".join(long) if long else " ".join(t.strip() for p in body for t in p.texts() if t.strip())
-    if not long and not text and described:
-        text = next((t.strip() for t in described[0].all_text() if t.strip()), "")
-    out["textual_review"] = text.strip().strip('"') if text else text
-    parts = [p.strip() for p in "".join(t for d in details for t in d.all_text()).split("|") if p.strip()]
-    for k, name in enumerate(("user", "age", "gender")):
-        if not out[name] and len(parts) > k:
-            out[name] = parts[k]
-    if not out["medication_duration"] and len(parts) > 3 and MARKER in parts[3]:
-        out["medication_duration"] = parts[3].replace(MARKER, "").strip()
-    if not out["patient_type"] and len(parts) > 4:
-        out["patient_type"] = parts[4]
-    return out
+    """The fields of a review block as PLACES has them; PARTS of the details' text fill gaps."""
+    out = {field: _read(block, place) for field, place in PLACES.items()}
+    parts = [p.strip() for p in "".join(t for n in block.find("div.details") for t in n.all_text()).split("|") if p.strip()]
+    for field, (k, mark) in PARTS.items():
+        if out[field] is None and k < len(parts) and mark in parts[k]:
+            out[field] = parts[k].replace(mark, "").strip()
+    out["textual_review"] = _body(block)
+    return {field: out[field] for field in FIELDS}
 
 
 def review_blocks(pages: DataFrame, html_col: str = "html") -> DataFrame:
@@ -144,7 +179,7 @@ def review_blocks(pages: DataFrame, html_col: str = "html") -> DataFrame:
         for pdf in batches:
             rows = []
             for own, html in zip(pdf[keep].itertuples(index=False), pdf[html_col], strict=True):
-                for k, block in enumerate(tree(html).find("div", part=BLOCK)):
+                for k, block in enumerate(tree(html).find(f"div~{BLOCK}")):
                     rows.append((*own, k, *review(block).values()))
             yield pd.DataFrame(rows, columns=[*keep, "block", *FIELDS])
 
