@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,11 @@ from .. import schemas
 from .normalize import approval, condition_name, duration, severity, strip
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once, however often f names it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def names_of(raw: Column) -> Column:
     """array<string> of a JSON value that is a string or a list of strings; raw is its JSON or plain text."""
     listed = F.from_json(raw, "array<string>")
@@ -21,8 +28,12 @@ def parsed_info(text: Column) -> Column:
     Side effect names may be a string or a list; NaN literals read as null.
     """
     loose = "drug struct<name string, dosage string, dosage_form string, duration string, continued_use string, alternative_drug_considered string>, condition struct<name string, severity string>, side_effects array<struct<name string, severity string, associated_drug string>>"
-    doc = F.from_json(F.nullif(strip(text), F.lit("")), loose)
     clean = lambda c: F.when(c.isin("NaN", '"NaN"'), None).otherwise(c)
+    return bound(F.from_json(F.nullif(strip(text), F.lit("")), loose), lambda doc: _checked(doc, clean))
+
+
+def _checked(doc: Column, clean: Callable[[Column], Column]) -> Column:
+    """A parsed document with its names as lists, null where it lacks a required one."""
     effects = F.transform(doc["side_effects"], lambda e: F.struct(names_of(e["name"]).alias("name"), e["severity"].alias("severity"), e["associated_drug"].alias("associated_drug")))
     condition = F.when(doc["condition"].isNotNull(), F.struct(clean(doc["condition"]["name"]).alias("name"), doc["condition"]["severity"].alias("severity")))
     whole = F.struct(doc["drug"].alias("drug"), condition.alias("condition"), F.coalesce(effects, F.array().cast(schemas.STRUCTURED_INFO["side_effects"].dataType)).alias("side_effects"))
@@ -32,10 +43,15 @@ def parsed_info(text: Column) -> Column:
 
 def post_processed(info: Column, brand: Column, condition: Column, told_duration: Column) -> Column:
     """The document under the table's own values: drug name and duration, condition, associated drug and severity."""
-    drug = info["drug"].withField("name", brand).withField("duration", duration(told_duration))
-    own = F.struct(condition_name(condition).alias("name"), F.when(condition_name(condition) != "Other", info["condition"]["severity"]).alias("severity"))
-    effects = F.transform(info["side_effects"], lambda e: F.struct(e["name"].alias("name"), severity(e["severity"]).alias("severity"), F.coalesce(F.nullif(e["associated_drug"], F.lit("")), brand).alias("associated_drug")))
-    return F.when(info.isNotNull(), F.struct(drug.alias("drug"), own.alias("condition"), effects.alias("side_effects")))
+    name = condition_name(condition)
+
+    def merged(info: Column) -> Column:
+        drug = info["drug"].withField("name", brand).withField("duration", duration(told_duration))
+        own = F.struct(name.alias("name"), F.when(name != "Other", info["condition"]["severity"]).alias("severity"))
+        effects = F.transform(info["side_effects"], lambda e: F.struct(e["name"].alias("name"), severity(e["severity"]).alias("severity"), F.coalesce(F.nullif(e["associated_drug"], F.lit("")), brand).alias("associated_drug")))
+        return F.when(info.isNotNull(), F.struct(drug.alias("drug"), own.alias("condition"), effects.alias("side_effects")))
+
+    return bound(info, merged)
 
 
 def _node(label: str, name: Column) -> Column:
@@ -49,9 +65,13 @@ def _relation(start: Column, end: Column, kind: str, **told: Column) -> Column:
 
 def relations(info: Column, brand: Column) -> Column:
     """One treats relation where the condition has a name, and a causes relation for each side effect name."""
-    treats = F.when(info["condition"]["name"].isNotNull(), F.array(_relation(_node("Medication", brand), _node("Disease", info["condition"]["name"]), "treats"))).otherwise(F.array().cast(f"array<{schemas.RELATION.simpleString()}>"))
-    causes = F.flatten(F.transform(info["side_effects"], lambda e: F.transform(e["name"], lambda n: _relation(_node("Medication", e["associated_drug"]), _node("SideEffect", n), "causes", severity=e["severity"], dosage=info["drug"]["dosage"]))))
-    return F.when(info.isNotNull(), F.concat(treats, causes))
+
+    def told(info: Column) -> Column:
+        treats = F.when(info["condition"]["name"].isNotNull(), F.array(_relation(_node("Medication", brand), _node("Disease", info["condition"]["name"]), "treats"))).otherwise(F.array().cast(f"array<{schemas.RELATION.simpleString()}>"))
+        causes = F.flatten(F.transform(info["side_effects"], lambda e: F.transform(e["name"], lambda n: _relation(_node("Medication", e["associated_drug"]), _node("SideEffect", n), "causes", severity=e["severity"], dosage=info["drug"]["dosage"]))))
+        return F.when(info.isNotNull(), F.concat(treats, causes))
+
+    return bound(info, told)
 
 
 def effect_names(info: Column) -> Column:

@@ -32,7 +32,7 @@ SHAPES = (
 #: Their fields in the order of html.FIELDS, as SQL.
 SHAPE_FIELDS = (
     ("'1/2/2024'", "'U' || {k}", "'25-34'", "'Female'", "'Patient'", "'1 year'", "'Other'", "{r}", "'4'", "'3'", "NULL", "'7'", "'2'", "'Good,really'"),
-    ("NULL", "'U' || {k}", "'less than 1 month'", "'Male'", "'Caregiver of a Patient'", "'less than 1 month'", "NULL", "NULL", "NULL", "NULL", "NULL", "'0'", "'0'", "'short form ' || {r} || ' end'"),
+    ("NULL", "'U' || {k}", "'Male'", "'Male'", "'Caregiver of a Patient'", "'less than 1 month'", "NULL", "NULL", "NULL", "NULL", "NULL", "'0'", "'0'", "'short form ' || {r} || ' end'"),
     ("NULL", "'U' || {k}", "'45-54'", "'Other'", "'Caregiver'", "'2 to 5 years'", "NULL", "NULL", "NULL", "NULL", "{r}", "NULL", "'0'", "{r} || ' stars'"),
     ("NULL", "'U' || {k}", "NULL", "NULL", "NULL", "NULL", "NULL", "NULL", "NULL", "NULL", "NULL", "NULL", "'0'", "''"),
 )
