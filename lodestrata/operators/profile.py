@@ -8,8 +8,11 @@ from pyspark.sql import types as T
 
 from .. import schemas
 from ..functions.normalize import number
+from ..sources.tables import with_row_order
 
 NUMERIC_SHARE = 0.8
+#: Rows of a document of a column's cells.
+COLUMN_ROWS = 1000
 
 
 def _text(c: str) -> Column:
@@ -66,8 +69,10 @@ def cell_corpus(df: DataFrame, columns: list[str] | None = None, limit: int = 10
     """A document per numeric column with its range, then the most frequent (column, value) cells up to the limit."""
     columns = columns or df.columns
     profile = column_profile(df, columns)
+    found = profile.collect()  # one row per column
+    profile = df.sparkSession.createDataFrame(found, profile.schema)
     ranges = profile.where("kind = 'numeric'").select(F.col("col"), F.lit(None).cast("string").alias("value"), F.lit(None).cast("long").alias("n"), F.to_json(F.struct(F.col("col").alias("column_name"), F.col("lo").alias("min"), F.col("hi").alias("max"))).alias("page_content"))
-    kinds = {r["col"]: r["kind"] for r in profile.select("col", "kind").collect()}  # one row per column
+    kinds = {r["col"]: r["kind"] for r in found}
     texts = [c for c in columns if kinds.get(c) == "categorical"]
     if not texts:
         return ranges
@@ -82,13 +87,18 @@ def row_corpus(df: DataFrame, order: str) -> DataFrame:
     return df.select(F.col(order).alias("row_id"), F.concat_ws("|", *(F.coalesce(_text(c), F.lit("nan")) for c in df.columns)).alias("page_content"))
 
 
-def column_corpus(df: DataFrame, order: str) -> DataFrame:
-    """A document per column: its cells in row order joined by bars. For tables whose columns fit one value."""
+def column_corpus(df: DataFrame, order: str, rows: int = COLUMN_ROWS) -> DataFrame:
+    """Documents of a column (col_name, part): the cells of `rows` rows at a time in row order, joined by bars; nulls as nan.
+
+    A table of at most that many rows has one document per column; longer columns go on in further parts, so that no value grows
+    with the table.
+    """
     names = [c for c in df.columns if c != order]
     cells = F.array(*(F.struct(F.lit(i).alias("col_id"), F.lit(c).alias("col_name"), F.coalesce(_text(c), F.lit("nan")).alias("v")) for i, c in enumerate(names)))
-    flat = df.select(F.col(order).alias("ord"), F.explode(cells).alias("x")).select("ord", "x.*")
+    placed = with_row_order(df, order)
+    flat = placed.select(F.col("row_idx").alias("ord"), F.floor(F.col("row_idx") / rows).cast("long").alias("part"), F.explode(cells).alias("x")).select("ord", "part", "x.*")
     own = F.array_sort(F.collect_list(F.struct("ord", "v")))
-    return flat.groupBy("col_id", "col_name").agg(F.array_join(F.transform(own, lambda x: x["v"]), "|").alias("page_content"))
+    return flat.groupBy("col_id", "col_name", "part").agg(F.array_join(F.transform(own, lambda x: x["v"]), "|").alias("page_content"))
 
 
 def sample_rows(df: DataFrame, order: str, limit: int, columns: int) -> DataFrame:

@@ -28,19 +28,25 @@ def whole(vector: str) -> Column:
     return F.col(vector).isNotNull() & F.forall(F.col(vector), lambda x: x.isNotNull() & ~F.isnan(x))
 
 
-def _matrix(t: pa.Table) -> np.ndarray:
-    flat = t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(t.num_rows, -1).astype(np.float64)
+def _matrices(*sides: pa.Table) -> list[np.ndarray]:
+    """Vectors as rows; shorter ones count as padded with zeros up to the longest of all sides."""
+    lists = [t.column("v").combine_chunks() for t in sides]
+    lengths = [x.value_lengths().to_numpy(zero_copy_only=False) for x in lists]
+    width = max(int(n.max()) for n in lengths)
+    out = [np.zeros((len(n), width)) for n in lengths]
+    for rows, x, n in zip(out, lists, lengths, strict=True):
+        rows[np.arange(width) < n[:, None]] = x.flatten().to_numpy(zero_copy_only=False)
+    return out
 
 
 def _best(k: int, metric: str):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[np.ndarray] = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
         if left.num_rows and right.num_rows:
-            q, v = _matrix(left), _matrix(right)
+            q, v = _matrices(left, right)
             score = q @ v.T
             if metric == "l2":
-                score = -((q**2).sum(axis=1)[:, None] + (v**2).sum(axis=1) - 2 * score)
+                score = -np.maximum((q**2).sum(axis=1)[:, None] + (v**2).sum(axis=1) - 2 * score, 0)
             qid, vid = (t.column("id").to_numpy() for t in (left, right))
             order = np.argsort(vid, kind="stable")
             top = order[np.argsort(-score[:, order], axis=1, kind="stable")[:, :k]]  # ties to smaller ids
@@ -53,7 +59,7 @@ def _best(k: int, metric: str):
 def nearest(queries: DataFrame, vocabulary: DataFrame, k: int = 10, metric: str = "dot", threshold: float | None = None, query_block: int = QUERY_BLOCK, vector_block: int = VECTOR_BLOCK) -> DataFrame:
     """query_id, id, rank, score: the k best of vocabulary (id, v) for each of queries (id, v).
 
-    metric: dot, or l2 (score is minus the squared distance). Ties go to the smaller id; scores under threshold go last of all,
+    metric: dot, or l2 (score is minus the squared distance). Shorter vectors count as padded with zeros. Ties go to the smaller id; scores under threshold go last of all,
     after ranking.
     """
     sides = [df.select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v")).where(whole("v")) for df in (queries, vocabulary)]

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 from .. import schemas
+from ..functions.nested import bound
 from ..functions.normalize import contains_any, first_of
 from .ir import GraphQuery, Hop, QueryPlan, TableQuery
 
@@ -59,6 +61,20 @@ def plan(question: str) -> QueryPlan:
     return QueryPlan("comparison" if len(named) > 1 else "single", named, tables, graphs)
 
 
+def decomposition(answer: Column) -> Column:
+    """`valid_decomposition` of a column of JSON texts: struct(is_comparison, results)."""
+    kind = "array<struct<entity:string,sub_questions:array<string>>>"
+    empty = F.struct(F.lit(False).alias("is_comparison"), F.array().cast(kind).alias("results"))
+
+    def checked(doc: Column) -> Column:
+        filled = lambda x: F.trim(F.coalesce(x, F.lit(""))) != ""
+        whole = F.forall(doc["results"], lambda r: filled(r["entity"]) & (F.size(r["sub_questions"]) > 0) & F.forall(r["sub_questions"], filled))
+        ok = F.coalesce(doc["is_comparison"] & (F.size(doc["results"]) > 0) & whole, F.lit(False))
+        return F.when(ok, F.struct(F.lit(True).alias("is_comparison"), doc["results"].alias("results"))).otherwise(empty)
+
+    return bound(F.from_json(answer, f"is_comparison boolean, results {kind}"), checked)
+
+
 def valid_decomposition(answer: object) -> dict[str, object]:
     """A model's decomposition if it is well formed, else a single question."""
     single: dict[str, object] = {"is_comparison": False, "results": []}

@@ -8,11 +8,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def _missing(error: AnalysisException) -> bool:
+    return error.getCondition() == "PATH_NOT_FOUND"
+
+
 def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType) -> DataFrame:
-    """RFC 4180 text with a header: quoted line breaks and doubled quotes."""
+    """RFC 4180 text with a header: quoted line breaks and doubled quotes. A missing path is an empty table; other errors are errors."""
     try:
         return spark.read.schema(schema).options(header=True, multiLine=True, quote='"', escape='"', mode="PERMISSIVE").csv(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if not _missing(error):
+            raise
         return spark.createDataFrame([], schema)
 
 
@@ -20,8 +26,8 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
     """Parquet; with a schema, a missing path is an empty table."""
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
-        if schema is None:
+    except AnalysisException as error:
+        if schema is None or not _missing(error):
             raise
         return spark.createDataFrame([], schema)
 

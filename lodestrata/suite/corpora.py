@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import schemas
 from ..operators import profile
-from .base import reviews, table
+from .base import CTE, reviews, table
 
 ORDERS = ["o_orderstatus", "o_totalprice", "o_orderpriority"]
 
@@ -30,18 +31,26 @@ def cell_corpus(spark, d):
 
 
 def row_corpus(spark, d):
-    return profile.row_corpus(table(spark, d, "nation").withColumn("note", F.when(F.col("n_nationkey") % 2 == 0, "x")), "n_nationkey")
+    rows = table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey", F.when(F.col("c_custkey") % 2 == 0, "x").alias("note"))
+    return profile.row_corpus(rows, "c_custkey")
 
 
 def column_corpus(spark, d):
-    return profile.column_corpus(table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey"), "n_nationkey").select("col_name", "page_content")
+    rows = table(spark, d, "customer").select("c_custkey", "c_name", F.when(F.col("c_nationkey") > 4, F.col("c_nationkey")).alias("c_nationkey"))
+    return profile.column_corpus(rows, "c_custkey").select("col_name", "part", F.md5("page_content").alias("digest"))
 
 
+_CELLS = {"effectiveness": "CAST(effectiveness AS VARCHAR)", "gender": "gender", "flag": "CASE WHEN row_idx % 3 = 0 THEN 'Yes' WHEN row_idx % 3 = 1 THEN 'no' END", "age": "age"}
+_WORDS = ", ".join(f"'{w}'" for w in schemas.BOOLEAN_WORDS)
+DTYPE_SQL = f"""{CTE}, c AS ({" UNION ALL ".join(f"SELECT '{name}' AS col, {cell} AS v FROM reviews" for name, cell in _CELLS.items())})
+SELECT col, count(*) AS n_rows, count(*) - count(v) AS n_null, count(DISTINCT v) AS n_distinct, CASE WHEN bool_and(TRY_CAST(v AS DOUBLE) IS NOT NULL) FILTER (v IS NOT NULL) THEN 'numeric'
+WHEN count(DISTINCT v) <= 2 AND bool_and(lower(v) IN ({_WORDS})) FILTER (v IS NOT NULL) THEN 'boolean' ELSE 'text' END AS kind FROM c GROUP BY 1"""
+
 QUERIES = {
-    "infer_dtype_profile": (infer_dtype_profile, None),
+    "infer_dtype_profile": (infer_dtype_profile, DTYPE_SQL),
     "profile_columns": (profile_columns, "SELECT 'o_orderstatus' AS col, count(o_orderstatus) AS n, 'categorical' AS kind, CAST(NULL AS DOUBLE) AS lo, CAST(NULL AS DOUBLE) AS hi FROM orders UNION ALL SELECT 'o_orderpriority', count(o_orderpriority), 'categorical', NULL, NULL FROM orders UNION ALL SELECT 'o_totalprice', count(o_totalprice), 'numeric', round(min(o_totalprice), 4), round(max(o_totalprice), 4) FROM orders"),
     "top3_values": (top3_values, "WITH c AS (SELECT 'o_orderstatus' AS col, o_orderstatus AS value, count(*) AS n FROM orders GROUP BY 2 UNION ALL SELECT 'o_orderpriority', o_orderpriority, count(*) FROM orders GROUP BY 2), r AS (SELECT *, row_number() OVER (PARTITION BY col ORDER BY n DESC, value) AS rank FROM c) SELECT * FROM r WHERE rank <= 3"),
     "cell_corpus": (cell_corpus, "WITH c AS (SELECT 'o_orderstatus' AS col, o_orderstatus AS value, count(*) AS n FROM orders GROUP BY 2 UNION ALL SELECT 'o_orderpriority', o_orderpriority, count(*) FROM orders GROUP BY 2) SELECT col, value, n, concat('{\"column_name\":\"', col, '\",\"cell_value\":\"', value, '\"}') AS page_content FROM c UNION ALL SELECT 'o_custkey', NULL, NULL, concat('{\"column_name\":\"o_custkey\",\"min\":', CAST(min(o_custkey)::DOUBLE AS VARCHAR), ',\"max\":', CAST(max(o_custkey)::DOUBLE AS VARCHAR), '}') FROM orders"),
-    "row_corpus": (row_corpus, "SELECT n_nationkey AS row_id, concat_ws('|', n_nationkey, n_name, n_regionkey, CASE WHEN n_nationkey % 2 = 0 THEN 'x' ELSE 'nan' END) AS page_content FROM nation"),
-    "column_corpus": (column_corpus, "SELECT 'n_name' AS col_name, string_agg(n_name, '|' ORDER BY n_nationkey) AS page_content FROM nation UNION ALL SELECT 'n_regionkey', string_agg(CAST(n_regionkey AS VARCHAR), '|' ORDER BY n_nationkey) FROM nation"),
+    "row_corpus": (row_corpus, "SELECT c_custkey AS row_id, concat_ws('|', c_custkey, c_name, c_nationkey, CASE WHEN c_custkey % 2 = 0 THEN 'x' ELSE 'nan' END) AS page_content FROM customer"),
+    "column_corpus": (column_corpus, "WITH c AS (SELECT *, CAST((row_number() OVER (ORDER BY c_custkey) - 1) // 1000 AS BIGINT) AS part FROM customer) SELECT 'c_name' AS col_name, part, md5(string_agg(c_name, '|' ORDER BY c_custkey)) AS digest FROM c GROUP BY 2 UNION ALL SELECT 'c_nationkey', part, md5(string_agg(CASE WHEN c_nationkey > 4 THEN CAST(c_nationkey AS VARCHAR) ELSE 'nan' END, '|' ORDER BY c_custkey)) FROM c GROUP BY 2"),
 }

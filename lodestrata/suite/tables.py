@@ -82,8 +82,8 @@ def union_all_sources(spark, d):
 
 
 def union_dedup(spark, d):
-    ordered = _lists(spark, d).withColumn("ord", F.col("source") * 1_000_000_000 + F.col("p_partkey"))
-    return vector.keep_first(ordered.select("p_type", "p_brand", "ord"), ["p_type", "p_brand"], "ord")
+    ordered = _lists(spark, d).select("p_type", "p_brand", F.struct("source", "p_partkey").alias("ord"))
+    return vector.keep_first(ordered, ["p_type", "p_brand"], "ord").select("p_type", "p_brand", F.col("ord.source").cast("long").alias("source"), "ord.p_partkey")
 
 
 def lookup_left_default(spark, d):
@@ -123,7 +123,7 @@ QUERIES = {
     "dedup_keep_first": (dedup_keep_first, "SELECT l_partkey, l_returnflag, min(l_orderkey * 10 + l_linenumber) AS ord FROM lineitem GROUP BY 1, 2"),
     "distinct_terms": (distinct_terms, "SELECT DISTINCT p_type, p_brand FROM part"),
     "union_all_sources": (union_all_sources, "SELECT p_size % 3 AS source, p_brand, count(*) AS n FROM part GROUP BY 1, 2"),
-    "union_dedup": (union_dedup, "SELECT p_type, p_brand, CAST(min((p_size % 3) * 1000000000 + p_partkey) AS BIGINT) AS ord FROM part GROUP BY 1, 2"),
+    "union_dedup": (union_dedup, "WITH r AS (SELECT *, row_number() OVER (PARTITION BY p_type, p_brand ORDER BY p_size % 3, p_partkey) AS k FROM part) SELECT p_type, p_brand, CAST(p_size % 3 AS BIGINT) AS source, p_partkey FROM r WHERE k = 1"),
     "lookup_left_default": (lookup_left_default, "SELECT n_name, coalesce('known ' || r_name, 'no text') AS text FROM nation LEFT JOIN (SELECT * FROM region WHERE r_regionkey < 3) ON n_regionkey = r_regionkey"),
     "zip_positional": (zip_positional, "SELECT c_custkey AS pos, c_mktsegment, o_orderpriority FROM customer JOIN orders ON c_custkey = o_orderkey"),
     "cube_rollup": (cube_rollup, f"{CTE} SELECT brand_name, gender, CAST(grouping(brand_name, gender) AS BIGINT) AS level, count(*) AS n, round(avg(satisfaction), 4) AS avg_satisfaction FROM reviews GROUP BY CUBE (brand_name, gender)"),

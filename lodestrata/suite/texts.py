@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions import normalize as N
 from ..functions import parse as P
-from ..plans.planner import routes, valid_decomposition
+from ..plans.planner import decomposition, routes
 from .base import CTE, reviews, table
 
 ESCAPED = lambda words: ", ".join(f"'{w}'" for w in words)
@@ -83,13 +83,13 @@ def pipe_split_fields(spark, d):
 PIPE_SQL = """WITH t AS (SELECT c_custkey, list_filter(list_transform(string_split(concat(' ', c_name, ' | ', CASE WHEN c_custkey % 3 > 0 THEN '25-34' ELSE '' END, ' | Female | ', CASE WHEN c_custkey % 2 > 0 THEN 'On medication for 1 year' ELSE 'no duration' END, ' | Patient'), '|'), lambda x: trim(x)), lambda x: x <> '') AS p FROM customer)
 SELECT c_custkey, p[1] AS "user", p[2] AS age, p[3] AS gender, CASE WHEN contains(p[4], 'On medication for') THEN trim(replace(p[4], 'On medication for', '')) END AS duration, p[5] AS patient_type FROM t"""
 
-QUESTION = "concat(['What is the average rating of ', 'Tell me about ', 'Which side effect does this cause: ', 'Do users say they like '][CAST(conv_id % 4 AS INT) + 1], ['Wegovy', 'saxenda or OZEMPIC', 'no product', 'Zepbound'][CAST(turn % 4 AS INT) + 1], '? ', substr(text, 1, 40))"
+QUESTION = "concat(['What is the average rating of ', 'Tell me about ', 'Which side effect does this cause: ', 'Do users say they like '][CAST(conv_id % 4 AS INT) + 1], ['Wegovy', 'saxenda or OZEMPIC', 'no product', 'Zepbound'][CAST(turn % 4 AS INT) + 1], '? ', text)"
 
 
 def _questions(spark, d):
     first = F.element_at(F.array(*map(F.lit, ["What is the average rating of ", "Tell me about ", "Which side effect does this cause: ", "Do users say they like "])), (F.col("conv_id") % 4 + 1).cast("int"))
     second = F.element_at(F.array(*map(F.lit, ["Wegovy", "saxenda or OZEMPIC", "no product", "Zepbound"])), (F.col("turn") % 4 + 1).cast("int"))
-    return table(spark, d, "conversations").withColumn("q", F.concat(first, second, F.lit("? "), F.substring("text", 1, 40)))
+    return table(spark, d, "conversations").withColumn("q", F.concat(first, second, F.lit("? "), "text"))
 
 
 def route_keywords(spark, d):
@@ -124,13 +124,58 @@ def _fenced(spark, d):
     return table(spark, d, "events").withColumn("a", F.concat(F.lit("Thought: look\n```json\n"), "props", F.lit("\n```\nThought: done"), tail))
 
 
+#: Model texts of several shapes, malformed ones too, and what is found in each, as SQL: {p} is props, {t} the event's type.
+FENCED_JSON = (
+    ("Thought: look\n```json\n{p}\n```\nThought: done", "props"),
+    ("```JSON {p}``` and ```json [1]```", "props"),
+    ("no block, but {p}", "NULL"),
+    ("```json\n{p} without an end", "NULL"),
+    ("```python\n{t}\n```", "NULL"),
+    ("```json```", "NULL"),
+)
+FENCED_CODE = (
+    ("run `df.{t}` now", "'df.' || event_type"),
+    (" {t} ", "event_type"),
+    ("```python\ndf.{t}\n```", "'df.' || event_type"),
+    ("first ```\n{t}\n``` then ```\nother\n```", "event_type"),
+    ("``` {t}", "'``` ' || event_type"),
+    ("`` {t}", "'`` ' || event_type"),
+)
+BALANCED = (
+    ('so it is {"a": {p}} and }', "'{\"a\": ' || props || '}'"),
+    ("[1, {p}] then {2}", "'[1, ' || props || ']'"),
+    ("open {p", "NULL"),
+    ("none of {t}", "CASE WHEN contains(event_type, '{') THEN '' END"),
+    ("{[}] {p}", "'{[}'"),
+    ("[ ```json\n{p}\n``` ]", "props"),
+)
+LITERALS = (
+    ("{'k': None, 'name': '{t}', 'on': True}", "'{\"k\": null, \"name\": \"' || event_type || '\", \"on\": true}'"),
+    ("['{t}', (1, 2), -3.5]", "'[\"' || event_type || '\", [1, 2], -3.5]'"),
+    ("open('{t}')", "NULL"),
+    ("{'a': [", "NULL"),
+    ("  ", "NULL"),
+    ("{'q': \"it's {t}\"}", "'{\"q\": \"it''s ' || event_type || '\"}'"),
+)
+
+
+def _shaped(shapes):
+    """The shape of the event's number, filled in."""
+    texts = (F.replace(F.replace(F.lit(x), F.lit("{p}"), F.col("props")), F.lit("{t}"), F.col("event_type")) for x, _ in shapes)
+    return F.get(F.array(*texts), (F.col("event_id") % len(shapes)).cast("int"))
+
+
+def _shaped_sql(shapes, name):
+    cases = " ".join(f"WHEN {i} THEN {found}" for i, (_, found) in enumerate(shapes))
+    return f"SELECT event_id, CASE event_id % {len(shapes)} {cases} END AS {name} FROM events"
+
+
 def extract_fenced_json(spark, d):
-    return _fenced(spark, d).select("event_id", P.fenced_json(F.col("a")).alias("found"))
+    return table(spark, d, "events").select("event_id", P.fenced_json(_shaped(FENCED_JSON)).alias("found"))
 
 
 def extract_fenced_code(spark, d):
-    code = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("run `df."), "event_type", F.lit("` now"))).otherwise(F.concat(F.lit(" "), "event_type", F.lit(" ")))
-    return table(spark, d, "events").select("event_id", P.fenced_code(code).alias("found"))
+    return table(spark, d, "events").select("event_id", P.fenced_code(_shaped(FENCED_CODE)).alias("found"))
 
 
 def extract_final_answer(spark, d):
@@ -138,27 +183,36 @@ def extract_final_answer(spark, d):
 
 
 def balanced_json(spark, d):
-    text = F.concat(F.lit("so [1] is "), F.lit("{\"a\": "), "props", F.lit("} and }"))
-    return table(spark, d, "events").select("event_id", P.balanced_json(F.replace(text, F.lit("[1]"), F.lit("it"))).alias("found"))
+    return table(spark, d, "events").select("event_id", P.balanced_json(_shaped(BALANCED)).alias("found"))
 
 
 def python_literals(spark, d):
-    text = F.concat(F.lit("{'k': None, 'name': '"), "event_type", F.lit("', 'on': True}"))
-    return table(spark, d, "events").select("event_id", P.literal_to_json(text).alias("json"))
+    return table(spark, d, "events").select("event_id", P.literal_to_json(_shaped(LITERALS)).alias("json"))
+
+
+#: Decompositions of a question, {x} being the turn's text as JSON: whether each is a comparison, and its number of parts.
+DECOMPOSED = (
+    ('{"is_comparison": true, "results": [{"entity": "Wegovy", "sub_questions": [{x}, "b?"]}, {"entity": "Ozempic", "sub_questions": ["a?"]}]}', True, 2),
+    ('{"is_comparison": true, "results": [{"entity": " ", "sub_questions": [{x}]}]}', False, 0),
+    ('{"is_comparison": true, "results": [{"entity": "Ozempic", "sub_questions": []}]}', False, 0),
+    ('{"is_comparison": true, "results": []}', False, 0),
+    ('{"is_comparison": false, "results": [{"entity": "x", "sub_questions": [{x}]}]}', False, 0),
+    ("[{x}]", False, 0),
+    ('{"is_comparison": true, "results": [{"entity": "x", "sub_questions": [{x}, ""]}]}', False, 0),
+    ('{"is_comparison": true, "results": [{"sub_questions": [{x}]}', False, 0),
+)
 
 
 def decompose_validate(spark, d):
-    """A table of small answers, validated by rule; its rows are as many as the cases."""
-    cases = [
-        ("ok", {"is_comparison": True, "results": [{"entity": "Wegovy", "sub_questions": ["a?"]}]}),
-        ("no entity", {"is_comparison": True, "results": [{"entity": " ", "sub_questions": ["a?"]}]}),
-        ("no question", {"is_comparison": True, "results": [{"entity": "Ozempic", "sub_questions": []}]}),
-        ("empty", {"is_comparison": True, "results": []}),
-        ("single", {"is_comparison": False, "results": [{"entity": "x", "sub_questions": ["y"]}]}),
-        ("list", []),
-    ]
-    rows = [(name, bool((v := valid_decomposition(x))["is_comparison"]), len(v["results"])) for name, x in cases]
-    return spark.createDataFrame(rows, "case string, is_comparison boolean, n long")
+    """Every turn inside a decomposition of some shape, validated by rule."""
+    quoted = F.regexp_extract(F.to_json(F.array(F.concat(F.lit("q "), "text"))), r"(?s)^\[(.*)\]$", 1)
+    told = F.get(F.array(*(F.replace(F.lit(x), F.lit("{x}"), quoted) for x, _, _ in DECOMPOSED)), ((F.col("conv_id") + F.col("turn")) % len(DECOMPOSED)).cast("int"))
+    found = table(spark, d, "conversations").select("conv_id", "turn", decomposition(told).alias("a"))
+    return found.select("conv_id", "turn", "a.is_comparison", F.size("a.results").cast("long").alias("n"))
+
+
+DECOMPOSED_SQL = f"""SELECT conv_id, turn, {' OR '.join(f'(conv_id + turn) % {len(DECOMPOSED)} = {i}' for i, x in enumerate(DECOMPOSED) if x[1])} AS is_comparison,
+CAST(CASE (conv_id + turn) % {len(DECOMPOSED)} {' '.join(f'WHEN {i} THEN {x[2]}' for i, x in enumerate(DECOMPOSED))} END AS BIGINT) AS n FROM conversations"""
 
 
 QUERIES = {
@@ -177,10 +231,10 @@ QUERIES = {
     "entity_extract": (entity_extract, ENTITY_SQL),
     "truncate_text": (truncate_text, "WITH t AS (SELECT doc_id, CASE WHEN length(text) > 1000 THEN substr(text, 1, 1000) || '... (truncated)' ELSE text END AS s FROM documents) SELECT doc_id, length(s) AS n, md5(s) AS digest FROM t"),
     "token_budget": (token_budget, "SELECT conv_id, CAST(sum(ceil(length(text) / 3.5)) AS BIGINT) AS tokens, CAST(greatest(1000, 128000 - 1024 - sum(ceil(length(text) / 3.5))) AS BIGINT) AS \"left\" FROM conversations GROUP BY 1"),
-    "extract_fenced_json": (extract_fenced_json, "SELECT event_id, props AS found FROM events"),
-    "extract_fenced_code": (extract_fenced_code, "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'df.' || event_type ELSE event_type END AS found FROM events"),
+    "extract_fenced_json": (extract_fenced_json, _shaped_sql(FENCED_JSON, "found")),
+    "extract_fenced_code": (extract_fenced_code, _shaped_sql(FENCED_CODE, "found")),
     "extract_final_answer": (extract_final_answer, f"WITH a AS (SELECT event_id, {FENCED} AS a FROM events) SELECT event_id, trim(CASE WHEN contains(a, 'Final Answer:') THEN split_part(a, 'Final Answer:', 2) ELSE string_split(a, 'Thought:')[-1] END) AS answer, contains(lower(a), 'final answer:') AS is_final FROM a"),
-    "balanced_json": (balanced_json, "SELECT event_id, '{\"a\": ' || props || '}' AS found FROM events"),
-    "python_literals": (python_literals, "SELECT event_id, '{\"k\": null, \"name\": \"' || event_type || '\", \"on\": true}' AS json FROM events"),
-    "decompose_validate": (decompose_validate, "SELECT * FROM (VALUES ('ok', true, CAST(1 AS BIGINT)), ('no entity', false, 0), ('no question', false, 0), ('empty', false, 0), ('single', false, 0), ('list', false, 0)) t(\"case\", is_comparison, n)"),
+    "balanced_json": (balanced_json, _shaped_sql(BALANCED, "found")),
+    "python_literals": (python_literals, _shaped_sql(LITERALS, "json")),
+    "decompose_validate": (decompose_validate, DECOMPOSED_SQL),
 }
