@@ -117,4 +117,5 @@ def token_estimate(c: Column) -> Column:
 
 
 def safe_id(c: Column) -> Column:
-    return F.regexp_replace(c, r"[^\p{Alnum}_-]", "")
+    """Letters and digits of any script, underscores and hyphens."""
+    return F.regexp_replace(c, r"[^\p{L}\p{N}_-]", "")

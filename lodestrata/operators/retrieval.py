@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+import hashlib
 
 from pyspark.ml.feature import HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
@@ -40,18 +40,32 @@ def corpus(kind: str, df: DataFrame, order: str, limit: int = CELL_LIMIT) -> Dat
 
 
 def safe_id(table_id: str) -> str:
-    return re.sub(r"[^\w-]", "", table_id)
+    """Letters and digits of any script, underscores and hyphens: `normalize.safe_id` for one text."""
+    return "".join(c for c in table_id if c.isalnum() or c in "_-")
 
 
-def index(spark: SparkSession, folder: str, table_id: str, kind: str, df: DataFrame, order: str) -> DataFrame:
-    """The embedded corpus, read from the folder if it is whole there, else built and saved."""
-    path = f"{folder}/{safe_id(table_id)}_{kind}"
+def version(df: DataFrame) -> str:
+    """A digest of a table's schema and rows, whatever their order: one pass."""
+    row = df.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")).alias("s")).first()
+    return hashlib.md5(f"{df.schema.json()}|{row['n']}|{row['s']}".encode()).hexdigest()[:16]
+
+
+def index(spark: SparkSession, folder: str, table_id: str, kind: str, df: DataFrame, order: str, version: str = "") -> DataFrame:
+    """The embedded corpus, read from the folder if it is whole there, else built and saved. Another version is another index."""
+    path = "_".join(filter(None, (f"{folder}/{safe_id(table_id)}_{kind}", version)))
     mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
     if not mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark):
         embedded(corpus(kind, df, order), "page_content").write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
+def build_database(spark: SparkSession, folder: str, table_id: str, df: DataFrame, order: str | None = None, structured: tuple[str, ...] = ("structured_info", "relations")) -> dict[str, DataFrame]:
+    """The schema and cell indexes of a table without its structured columns, keyed by its content: built where it is new, else loaded."""
+    plain = df.drop(*structured)
+    order, own = order or plain.columns[0], version(plain)
+    return {kind: index(spark, folder, table_id, kind, plain, order, own) for kind in ("schema", "cell")}
+
+
 def hits(index_table: DataFrame, questions: DataFrame, k: int = K) -> DataFrame:
     """query_id, rank, page_content and result_text of the k nearest documents (by squared distance) of questions (id, text)."""
     asked = embedded(questions, "text").select("id", "v")

@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from ..functions import nested
 
 
-def extracted(reviews: DataFrame, terms: list[str], severities: list[str]) -> DataFrame:
+def extracted(reviews: DataFrame, terms: list[str], severities: list[str], keep_failed: bool = True) -> DataFrame:
     """reviews with info, the rule-based document of textual_review.
 
     Side effects are the terms that stand in the text as words, a severity word right before one is its severity, and a dosage is a
-    number with mg. Without a brand info is null (the row passes). An extractor of another kind only has to give the same struct.
+    number with mg. Without a brand info is null: the row passes, or goes where keep_failed is off. An extractor of another kind only has to give the same struct.
     """
     text = F.lower(F.coalesce("textual_review", F.lit("")))
     null = F.lit(None).cast("string")
@@ -23,7 +23,8 @@ def extracted(reviews: DataFrame, terms: list[str], severities: list[str]) -> Da
     drug = F.struct(F.col("brand_name").alias("name"), dosage.alias("dosage"), null.alias("dosage_form"), null.alias("duration"), null.alias("continued_use"), null.alias("alternative_drug_considered"))
     condition = F.struct(F.col("condition").alias("name"), null.alias("severity"))
     info = F.struct(drug.alias("drug"), condition.alias("condition"), effects.alias("side_effects"))
-    return reviews.withColumn("info", F.when(F.coalesce(F.col("brand_name"), F.lit("")) != "", info))
+    out = reviews.withColumn("info", F.when(F.coalesce(F.col("brand_name"), F.lit("")) != "", info))
+    return out if keep_failed else out.where(F.coalesce(F.col("brand_name"), F.lit("")) != "")
 
 
 def post_processed(rows: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import graph
@@ -29,6 +29,8 @@ _AGGS = {
     "min": F.min,
     "max": F.max,
 }
+#: What a filter and an aggregate may say.
+OPERATORS, AGGREGATES = frozenset(_OPS), frozenset({*_AGGS, "mode", "unique"})
 
 
 @dataclass(frozen=True)
@@ -64,8 +66,8 @@ class TableQuery:
             df = df.groupBy(*self.group_by).agg(*(c.alias(alias) for c, alias in made))
             if self.share_of_total:
                 alias = next(a for fn, _, a in self.aggs if fn == "count")
-                # the groups are few rows: one value of a column each
-                df = df.withColumn("pct", F.round(100.0 * F.col(alias) / F.sum(alias).over(Window.partitionBy()), 1))
+                total = df.agg(F.sum(alias).alias("_total"))  # one row; a window over all groups would be one task
+                df = df.join(F.broadcast(total)).withColumn("pct", F.round(100.0 * F.col(alias) / F.col("_total"), 1)).drop("_total")
         elif self.group_by:
             df = df.select(*self.group_by).distinct()
         if self.order_by:

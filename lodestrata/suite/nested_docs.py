@@ -127,6 +127,15 @@ def extract_pipeline(spark, d):
 EXTRACT_SQL = f"""{CTE} SELECT row_idx, CASE WHEN row_idx % 9 <> 0 THEN '2.5 mg' END AS dosage, CASE WHEN row_idx % 9 <> 0 THEN concat(brand_name, '/treats/', {_COND}, '/-') || CASE row_idx % 3 WHEN 0 THEN concat(';', brand_name, '/causes/nausea/Severe') WHEN 1 THEN concat(';', brand_name, '/causes/headache/-;', brand_name, '/causes/fatigue/-') ELSE '' END END AS relations FROM reviews"""
 
 
+def extract_drop_failed(spark, d):
+    """The first form of extraction: rows that fail are dropped."""
+    rows = standardize.extracted(_texts(spark, d), TERMS, SEVERITIES, keep_failed=False)
+    return rows.select("row_idx", F.col("info.drug.dosage").alias("dosage"), F.size("info.side_effects").cast("long").alias("n_effects"))
+
+
+DROP_SQL = f"{CTE} SELECT row_idx, '2.5 mg' AS dosage, CAST(CASE row_idx % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END AS BIGINT) AS n_effects FROM reviews WHERE row_idx % 9 <> 0"
+
+
 def standardize_pipeline(spark, d):
     """Extraction, distinct terms, a match table (here by rule), and the matched names in their place."""
     rows = standardize.post_processed(standardize.extracted(_texts(spark, d), TERMS, SEVERITIES))
@@ -152,5 +161,6 @@ QUERIES = {
     "replace_terms": (replace_terms, REPLACE_SQL),
     "standardize_relations": (standardize_relations, STANDARD_SQL),
     "extract_pipeline": (extract_pipeline, EXTRACT_SQL),
+    "extract_drop_failed": (extract_drop_failed, DROP_SQL),
     "standardize_pipeline": (standardize_pipeline, PIPELINE_SQL),
 }

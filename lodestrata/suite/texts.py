@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions import normalize as N
 from ..functions import parse as P
+from ..plans.graph_text import cleaned
 from ..plans.planner import decomposition, routes
 from .base import CTE, reviews, table
 
@@ -203,6 +204,19 @@ DECOMPOSED = (
 )
 
 
+GENERATED = (
+    ("MATCH (d) RETURN d // {t}", "'MATCH (d) RETURN d // ' || event_type"),
+    (" match (d) RETURN d\n```", "'match (d) RETURN d'"),
+    ("```cypher\nMATCH (d:{t}) RETURN d\n```", "NULL"),
+    ("Error: {t}", "NULL"),
+    ("MATCH ```cypher (d:{t})``` RETURN d", "'MATCHcypher (d:' || event_type || ') RETURN d'"),
+)
+
+
+def graph_text_cleanup(spark, d):
+    return table(spark, d, "events").select("event_id", cleaned(_shaped(GENERATED)).alias("query"))
+
+
 def decompose_validate(spark, d):
     """Every turn inside a decomposition of some shape, validated by rule."""
     quoted = F.regexp_extract(F.to_json(F.array(F.concat(F.lit("q "), "text"))), r"(?s)^\[(.*)\]$", 1)
@@ -236,5 +250,6 @@ QUERIES = {
     "extract_final_answer": (extract_final_answer, f"WITH a AS (SELECT event_id, {FENCED} AS a FROM events) SELECT event_id, trim(CASE WHEN contains(a, 'Final Answer:') THEN split_part(a, 'Final Answer:', 2) ELSE string_split(a, 'Thought:')[-1] END) AS answer, contains(lower(a), 'final answer:') AS is_final FROM a"),
     "balanced_json": (balanced_json, _shaped_sql(BALANCED, "found")),
     "python_literals": (python_literals, _shaped_sql(LITERALS, "json")),
+    "graph_text_cleanup": (graph_text_cleanup, _shaped_sql(GENERATED, "query")),
     "decompose_validate": (decompose_validate, DECOMPOSED_SQL),
 }
