@@ -293,47 +293,22 @@ class Automaton:
             out[np.repeat(first[own] - (np.cumsum(count) - count), count) + np.arange(len(ids))] = ids
         return out, counts
 
-    def encode_texts(self, texts: list[str]) -> Iterator[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers; some STEP_BYTES of text are encoded at once."""
-        low = held = 0
-        for k, text in enumerate(texts):
-            held += len(text)
-            if held >= STEP_BYTES or k == len(texts) - 1:
-                yield from self._step(texts[low : k + 1])
-                low, held = k + 1, 0
-
-    def _step(self, texts: list[str]) -> Iterator[bytes]:
-        """Ids of texts by their distinct chunks; texts with chunks that don't stand on their own are encoded whole."""
-        lists = pc.split_pattern(pa.array(texts, pa.string()), " ")
-        told, at = lists.flatten().dictionary_encode(), lists.offsets.to_numpy()
-        codes, chunks = told.indices.to_numpy(zero_copy_only=False), told.dictionary.to_pylist()
-        leads = at[:-1]
-        rest = np.ones(len(codes), bool)
-        rest[leads] = False
-        alone = np.fromiter((bool(w) and w[0] not in SPACES for w in chunks), bool, len(chunks))
-        odd = np.r_[0, np.cumsum(rest & ~alone[codes])]
-        whole = odd[at[1:]] > odd[at[:-1]]
-        whole |= np.fromiter((any(x in t for x in self.special) for t in texts), bool, len(texts))
-        used = np.flatnonzero(np.bincount(codes[rest], minlength=len(chunks)).astype(bool) & alone)
-        joined = "".join(f" {chunks[k]}" for k in used.tolist())
-        pieces = self.pieces(joined)  # a piece that begins with a blank begins a chunk
+    def chunk_ids(self, joined: str, firsts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks behind a single space each and of texts' first chunks, and where in them each begins."""
+        pieces = self.pieces(joined)
         starts = np.flatnonzero(np.fromiter((p[0] == " " for p in pieces), bool, len(pieces)))
-        firsts = [self.pieces(chunks[k]) for k in codes[leads].tolist()]
-        pieces += [p for own in firsts for p in own]
-        begin = np.r_[starts, len(pieces) - sum(map(len, firsts)) + np.cumsum([0] + [len(x) for x in firsts])]
-        data = np.frombuffer((joined + "".join("".join(x) for x in firsts)).encode("utf-8", "surrogatepass"), np.uint8)
-        ids, counts = self.encode_all(data, pc.binary_length(pa.array(pieces, pa.string())).to_numpy().astype(np.int64)) if pieces else (np.empty(0, np.int32), np.empty(0, np.int64))
-        place = np.r_[0, np.cumsum(counts)][begin]  # in ids, of every chunk and every first one
-        number = np.full(len(chunks), -1)
-        number[used] = np.arange(len(used))
-        own = number[codes]
-        own[leads] = len(used) + np.arange(len(texts))
-        own = np.where(own < 0, len(place) - 1, own)  # of texts that are encoded whole
-        size = np.diff(place, append=place[-1])[own]
-        ends = np.r_[0, np.cumsum(size)]
-        blob = ids[np.repeat(place[own] - ends[:-1], size) + np.arange(ends[-1])].astype("<u4").tobytes()
-        for k, text in enumerate(texts):
-            yield self.encode_text(text) if whole[k] else blob[4 * ends[at[k]] : 4 * ends[at[k + 1]]]
+        own = list(map(self.pieces, firsts))
+        begin = np.r_[starts, len(pieces) + np.cumsum([0] + [len(x) for x in own])]
+        pieces += [p for x in own for p in x]
+        if not pieces:
+            return np.empty(0, np.int32), begin
+        data = np.frombuffer((joined + "".join(firsts)).encode("utf-8", "surrogatepass"), np.uint8)
+        ids, counts = self.encode_all(data, pc.binary_length(pa.array(pieces, pa.string())).to_numpy().astype(np.int64))
+        return ids, np.r_[0, np.cumsum(counts)][begin]
+
+    def encode_texts(self, texts: list[str]) -> Iterator[bytes]:
+        """`encode_text` of many texts."""
+        return in_steps(texts, self.chunk_ids, self.encode_text, self.special)
 
     def encode_text(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers."""
@@ -357,6 +332,42 @@ class Automaton:
         return self.flat[np.repeat(self.starts[ids] - ends + lengths, lengths) + np.arange(ends[-1])].tobytes()
 
 
+def in_steps(texts: list[str], chunk_ids: Callable[[str, list[str]], tuple[np.ndarray, np.ndarray]], encode: Callable[[str], bytes], special: dict[str, int]) -> Iterator[bytes]:
+    """Ids of each text as little-endian unsigned 32-bit integers; some STEP_BYTES of text are encoded at once."""
+    low = held = 0
+    for k, text in enumerate(texts):
+        held += len(text)
+        if held >= STEP_BYTES or k == len(texts) - 1:
+            yield from _step(texts[low : k + 1], chunk_ids, encode, special)
+            low, held = k + 1, 0
+
+
+def _step(texts: list[str], chunk_ids, encode, special: dict[str, int]) -> Iterator[bytes]:
+    """Ids of texts by their distinct chunks; texts with chunks that don't stand on their own are encoded whole."""
+    lists = pc.split_pattern(pa.array(texts, pa.string()), " ")
+    told, at = lists.flatten().dictionary_encode(), lists.offsets.to_numpy()
+    codes, chunks = told.indices.to_numpy(zero_copy_only=False), told.dictionary.to_pylist()
+    leads = at[:-1]
+    rest = np.ones(len(codes), bool)
+    rest[leads] = False
+    alone = np.fromiter((bool(w) and w[0] not in SPACES for w in chunks), bool, len(chunks))
+    odd = np.r_[0, np.cumsum(rest & ~alone[codes])]
+    whole = odd[at[1:]] > odd[at[:-1]]
+    whole |= np.fromiter((any(x in t for x in special) for t in texts), bool, len(texts))
+    used = np.flatnonzero(np.bincount(codes[rest], minlength=len(chunks)).astype(bool) & alone)
+    ids, place = chunk_ids("".join(f" {chunks[k]}" for k in used.tolist()), [chunks[k] for k in codes[leads].tolist()])
+    number = np.full(len(chunks), -1)
+    number[used] = np.arange(len(used))
+    own = number[codes]
+    own[leads] = len(used) + np.arange(len(texts))
+    own = np.where(own < 0, len(place) - 1, own)  # of texts that are encoded whole
+    size = np.diff(place, append=place[-1])[own]
+    ends = np.r_[0, np.cumsum(size)]
+    blob = ids[np.repeat(place[own] - ends[:-1], size) + np.arange(ends[-1])].astype("<u4").tobytes()
+    for k, text in enumerate(texts):
+        yield encode(text) if whole[k] else blob[4 * ends[at[k]] : 4 * ends[at[k + 1]]]
+
+
 class _Whole(Exception):
     """A chunk that can't be encoded on its own."""
 
@@ -414,18 +425,45 @@ def automaton_encoder(text: str) -> tuple[Automaton, ChunkEncoder]:
     return _ENCODERS[key]
 
 
-def rank_encoder(text: str) -> ChunkEncoder:
-    """The vocabulary as ranks in the tiktoken library, behind the same memo; its ids are those of the tokenizers library."""
-    import tiktoken
+class Ranks:
+    """The vocabulary as ranks in the tiktoken library; its ids are those of the tokenizers library."""
 
+    def __init__(self, text: str):
+        import tiktoken
+
+        told, letters = json.loads(text), byte_letters()
+        self.special = {x["content"]: x["id"] for x in told.get("added_tokens", [])}
+        ranks = {bytes(letters[c] for c in t): i for t, i in told["model"]["vocab"].items() if t not in self.special}
+        self.own, self.names = tiktoken.Encoding("own", pat_str=PIECES, mergeable_ranks=ranks, special_tokens=self.special), frozenset(self.special)
+        self.blank = np.zeros(max([*ranks.values(), *self.special.values()]) + 1, bool)
+        self.blank[[i for t, i in ranks.items() if t[:1] == b" "]] = True
+
+    def encode_text(self, text: str) -> bytes:
+        return array("I", self.own.encode(text, allowed_special=self.names) if any(n in text for n in self.names) else self.own.encode_ordinary(text)).tobytes()
+
+    def chunk_ids(self, joined: str, firsts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As the automaton's: only a chunk's first id begins with a blank."""
+        ids, own = np.array(self.own.encode_ordinary(joined), np.int32), [self.own.encode_ordinary(x) for x in firsts]
+        begin = np.r_[np.flatnonzero(self.blank[ids]), len(ids) + np.cumsum([0] + [len(x) for x in own])]
+        return np.r_[ids, np.array([i for x in own for i in x], np.int32)], begin
+
+    def encode_texts(self, texts: list[str]) -> Iterator[bytes]:
+        return in_steps(texts, self.chunk_ids, self.encode_text, self.special)
+
+
+def rank_tables(text: str) -> Ranks:
+    """This process's ranks of a vocabulary; they live as long as the Python worker."""
     key = ("ranks", hashlib.md5(text.encode()).hexdigest())
     if key not in _ENCODERS:
-        told, letters = json.loads(text), byte_letters()
-        special = {x["content"]: x["id"] for x in told.get("added_tokens", [])}
-        ranks = {bytes(letters[c] for c in t): i for t, i in told["model"]["vocab"].items() if t not in special}
-        own = tiktoken.Encoding("own", pat_str=PIECES, mergeable_ranks=ranks, special_tokens=special)
-        names = frozenset(special)
-        _ENCODERS[key] = ChunkEncoder(lambda x: array("I", own.encode(x, allowed_special=names) if any(n in x for n in names) else own.encode_ordinary(x)).tobytes())
+        _ENCODERS[key] = Ranks(text)
+    return _ENCODERS[key]
+
+
+def rank_encoder(text: str) -> ChunkEncoder:
+    """The ranks behind a memo, for texts that come one by one."""
+    key = ("ranks memo", hashlib.md5(text.encode()).hexdigest())
+    if key not in _ENCODERS:
+        _ENCODERS[key] = ChunkEncoder(rank_tables(text).encode_text)
     return _ENCODERS[key]
 
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import rank_encoder, vocabulary
+from .bpe import rank_tables, vocabulary
 from .common import stored, table, workspace
 
 SEQUENCE = 2048
@@ -64,11 +64,12 @@ def pieces(docs: DataFrame, vocab: str, capacity: int = SEQUENCE) -> DataFrame:
     kept = docs.sparkSession.sparkContext.broadcast(vocab)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = rank_encoder(kept.value)
+        ranks = rank_tables(kept.value)
         for batch in batches:
             rows: tuple[list, ...] = ([], [], [], [], [])
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                ids = memoryview(encode(text.as_py() or "") + END_ID)
+            found = ranks.encode_texts([x.as_py() or "" for x in batch.column("text")])
+            for doc_id, own in zip(batch.column("doc_id").to_pylist(), found, strict=True):
+                ids = memoryview(own + END_ID)
                 for k, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
                     for column, x in zip(rows, (doc_id, k, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)])), strict=True):
                         column.append(x)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import rank_encoder, vocabulary
+from .bpe import rank_tables, vocabulary
 from .common import stored, table, workspace
 
 KEYS = ("source", "lang", "tokenizer")
@@ -85,10 +85,10 @@ def counted(docs: DataFrame, vocab: str, columns: tuple[str, ...] = ("doc_id", "
     own = docs.select(*columns, F.col("text").cast("string").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = rank_encoder(kept.value)
+        ranks = rank_tables(kept.value)
         for batch in batches:
             texts = [x.as_py() or "" for x in batch.column("_text")]
-            words, pieces = pa.array([len(x.split()) for x in texts], pa.int64()), pa.array([len(encode(x)) // 4 for x in texts], pa.int64())
+            words, pieces = pa.array([len(x.split()) for x in texts], pa.int64()), pa.array([len(x) // 4 for x in ranks.encode_texts(texts)], pa.int64())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), words, pieces], names=[*columns, "words", "pieces"])
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in own.schema.fields if f.name in columns)

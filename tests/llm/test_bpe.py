@@ -77,6 +77,7 @@ def test_batches_equal_the_library(own):
     texts += [" a", "b ", "\n\nc d", "e\n f", "\u3000 g", " \u3000", "<|endoftext|>"]
     for text, ids in zip(texts, machine.encode_texts(texts), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
+    assert list(bpe.rank_tables(bpe.vocabulary()).encode_texts(texts)) == list(machine.encode_texts(texts))
     words = [w.encode() for w in {w for t in texts for w in t.split()}]
     ids, counts = machine.encode_all(np.frombuffer(b"".join(words), np.uint8), np.array([len(w) for w in words]))
     paths = [machine.encode_word(w) for w in words]
