@@ -8,7 +8,8 @@ merge into the exact answer.
 
 Defined cases: vectors that are null, empty, or hold null or non-finite components, and rows without an id, take no part; a
 shorter vector counts as padded with zeros; rows that repeat an id count once, by their best score, and never answer their own
-id; an empty table, or one without queries, gives no row; columns besides the id and the vector are ignored.
+id; a score outside of the range of long is an error of the query (none is rounded);
+an empty table, or one without queries, gives no row; columns besides the id and the vector are ignored.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import BROADCAST_ROWS, small, stored, table, workspace
 
 DIMENSION_BLOCK = 16
 QUERY_BLOCK = 1024
@@ -38,33 +39,58 @@ def quantised(column: pa.ChunkedArray, scale: int, width: int | None = None) ->
     return out
 
 
+def _whole(x: np.ndarray, kind: type) -> np.ndarray:
+    """x as whole numbers of a type; object: Python's unbounded integers."""
+    if kind is not object:
+        return x.astype(kind)
+    out = np.empty(x.shape, object)
+    out.ravel()[:] = [int(y) for y in x.ravel().tolist()]
+    return out
+
+
+def _longs(scores: np.ndarray) -> np.ndarray:
+    """Scores as 64-bit integers; one that doesn't fit is an error, not another number."""
+    if scores.dtype == object and any(not -(2**63) <= x < 2**63 for x in scores):
+        raise OverflowError("a score is outside of the range of long")
+    return scores.astype(np.int64)
+
+
 def exact_type(*sides: np.ndarray) -> type:
     """Doubles while every partial sum is under 2^53, else 64-bit or unbounded integers."""
     bound = float(sides[0].shape[1]) * np.prod([max(1.0, float(np.abs(x).max(initial=0))) for x in sides])
     return np.float64 if bound < 2**53 else np.int64 if bound < 2**62 else object
 
 
-def block_topk(queries: np.ndarray, candidates: np.ndarray, query_ids: np.ndarray, ids: np.ndarray, k: int, step: int = DIMENSION_BLOCK):
-    """Yields (query position, candidate positions, scores): all that can be among the k best of this block, ties included."""
+def block_topk(queries: np.ndarray, candidates: np.ndarray, query_ids: np.ndarray, ids: np.ndarray, k: int, step: int = DIMENSION_BLOCK, floors: np.ndarray | None = None):
+    """Yields (query position, candidate positions, scores): all that can be among the k best of this block, ties included.
+
+    floors: scores that the k-th best of each query has at least, as other blocks have told.
+    """
+    floors = np.full(len(queries), -np.inf) if floors is None else floors
     kind, width = exact_type(queries, candidates), candidates.shape[1]
-    columns = np.ascontiguousarray(candidates.T).astype(kind)
+    columns = _whole(np.ascontiguousarray(candidates.T), kind)
     rest = lambda x, at: np.sqrt((x[:, at:].astype(np.float64) ** 2).sum(axis=1)) * (1 + 1e-9)
     cuts = list(range(0, width, step)) or [0]
     left = {at: rest(candidates, at) for at in cuts[1:]}
-    first = queries[:, :step].astype(kind) @ columns[:step]
-    for i, q in enumerate(queries.astype(kind)):
+    whole = _whole(queries, kind)
+    first = whole[:, :step] @ columns[:step]
+    for i, q in enumerate(whole):
         alive = np.flatnonzero(ids != query_ids[i])
         score = first[i, alive]
         for at in cuts[1:]:
             if len(alive) > k:
-                slack = left[at][alive] * (float(rest(queries[i : i + 1], at)[0])) + 1e-3
-                low = score.astype(np.float64) - slack
-                keep = np.flatnonzero(score.astype(np.float64) + slack >= np.partition(low, len(low) - k)[len(low) - k])
+                told = score.astype(np.float64)
+                slack = left[at][alive] * (float(rest(queries[i : i + 1], at)[0])) + 1e-3 + 1e-9 * np.abs(told)
+                low = told - slack
+                keep = np.flatnonzero(told + slack >= max(floors[i], np.partition(low, len(low) - k)[len(low) - k]))
                 alive, score = alive[keep], score[keep]
             score = score + q[at : at + step] @ columns[at : at + step, alive]
         if len(alive) > k:
             keep = np.flatnonzero(score >= np.sort(score)[len(score) - k])
             alive, score = alive[keep], score[keep]
+        if floors[i] > -np.inf:
+            keep = np.flatnonzero(score >= floors[i])
+            alive, score = alive[keep], score[keep]
         yield i, alive, score
 
 
@@ -75,7 +101,8 @@ def _pairs(k: int, scale: int):
             width = max(int(x.column("vector").combine_chunks().value_lengths().to_numpy(zero_copy_only=False).max()) for x in (left, right))
             queries, candidates = (quantised(x.column("vector"), scale, width) for x in (left, right))
             query_ids, ids = (x.column("id").to_numpy() for x in (left, right))
-            for i, at, score in block_topk(queries, candidates, query_ids, ids, k):
+            told = left.column("floor").to_numpy(zero_copy_only=False).astype(np.float64)  # nulls are nan
+            for i, at, score in block_topk(queries, candidates, query_ids, ids, k, floors=np.where(np.isnan(told), -np.inf, told)):
                 order = np.argsort(ids[at], kind="stable")  # ties go to smaller ids, so k rows (of k ids) are enough
                 order = order[np.argsort(-score[order], kind="stable")]
                 at, score = at[order], score[order]
@@ -83,7 +110,7 @@ def _pairs(k: int, scale: int):
                 once = np.sort(once)[:k]
                 out[0].append(np.full(len(once), query_ids[i]))
                 out[1].append(ids[at[once]])
-                out[2].append(score[once].astype(np.int64))
+                out[2].append(_longs(score[once]))
         columns = [np.concatenate(x).astype(np.int64) if x else np.empty(0, np.int64) for x in out]
         return pa.table(dict(zip(("query_id", "vec_id", "score"), columns, strict=True)))
 
@@ -93,15 +120,32 @@ def _pairs(k: int, scale: int):
 def topk(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding", query_block: int = QUERY_BLOCK, candidate_block: int = CANDIDATE_BLOCK) -> DataFrame:
     """The k vectors of the highest floor-quantised inner product for each query: query_id, rank, vec_id, score.
 
-    Both sides are dealt into blocks by a hash of the id. Each pair of blocks is one group of bounded size.
+    Both sides are dealt into blocks by a hash of the id. Each pair of blocks is one group of bounded size. The first block of candidates
+    is scored before the others: the k-th best score that a query has there is a floor for all its blocks. Pairs of blocks whose norms
+    can't reach a floor are left out, and within the others the floor prunes from the first dimensions on.
     """
+    spark = vectors.sparkSession
     finite = F.expr("forall(vector, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))")
     valid = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector")).where("id is not null and size(vector) > 0").where(finite)
+    folder = workspace(spark, "topk")
+    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + F.pow(F.floor(x * scale).cast("double"), F.lit(2.0)))) * (1 + 1e-9)
     left, right = valid(queries), valid(vectors)
     n, m = left.count(), right.count()
     qs, cs = max(1, -(-n // query_block)), max(LEAST_BLOCKS, -(-m // candidate_block))
-    dealt = lambda df, own, blocks, other, others: df.withColumn(own, F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
-    left, right = dealt(left, "qb", qs, "cb", cs), dealt(right, "cb", cs, "qb", qs)
+    block = lambda df, own, blocks: df.withColumn(own, F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    left, right = block(left, "qb", qs), block(right, "cb", cs)
+    spread = lambda df, own, others: df.withColumn(own, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+    unknown = left.withColumn("floor", F.lit(None).cast("double"))
+    seed = unknown.groupBy("qb").cogroup(spread(right.where("cb = 0"), "qb", qs).groupBy("qb")).applyInArrow(_pairs(k, scale), SCORES)
+    seed = seed.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    floors = seed.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").cast("double").alias("floor")).where(F.col("n") == k)  # a repeated query id may have more; it goes without
+    floors = stored(floors.select(F.col("query_id").alias("id"), "floor"), f"{folder}/floors")
+    known = left.join(small(floors, floors.count()), "id", "left")
+    sides = known.groupBy("qb").agg(F.max(norm).alias("q"), F.min(F.coalesce("floor", F.lit(float("-inf")))).alias("least"))
+    pairs = spread(sides, "cb", cs).join(F.broadcast(right.groupBy("cb").agg(F.max(norm).alias("c"))) if cs <= BROADCAST_ROWS else right.groupBy("cb").agg(F.max(norm).alias("c")), "cb")
+    pairs = stored(pairs.where(F.col("q") * F.col("c") + 1 >= F.col("least")).select("qb", "cb"), f"{folder}/pairs")
+    count = pairs.count()
+    left, right = known.join(small(pairs, count), "qb"), right.join(small(pairs, count), "cb")
     partial = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInArrow(_pairs(k, scale), SCORES)
     best = partial.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))

@@ -43,3 +43,30 @@ def test_pruning_keeps_every_score_that_counts():
     for i, at, score in topk.block_topk(q, c, np.arange(5) - 9, np.arange(400), 7):
         all_scores = c @ q[i]
         assert set(np.flatnonzero(all_scores >= np.sort(all_scores)[-7])) == set(at.tolist()) and (score == all_scores[at]).all()
+
+
+def test_large_components_stay_exact_and_scores_fit():
+    big = float(2**40)
+    q, c = np.array([[big, 3.0]]), np.array([[2.0, 1.0], [2.0, 5.0], [1.0, 9.0]]) * 2.0**20
+    (i, at, score), = topk.block_topk(q, c, np.array([-1]), np.arange(3), 2)
+    exact = [int(a) * int(big) + int(b) * 3 for a, b in c]
+    assert {int(a): int(s) for a, s in zip(at, score, strict=True)} == {k: exact[k] for k in (0, 1)}
+    whole = topk._whole(np.array([[2.0**60, -7.0]]), object)
+    assert all(type(x) is int for x in whole.ravel())
+    with pytest.raises(OverflowError):
+        topk._longs(np.array([2**70], object))
+
+
+def test_floors_of_other_blocks_prune_and_hot_vectors_stay_whole(spark):
+    """A third of the rows are one vector; blocks are many and small."""
+    rng = random.Random(4)
+    rows = [(k, [1.0, 0.5, -0.5, 0.25] * 5 if k % 3 == 0 else [rng.gauss(0, 0.4) for _ in range(20)]) for k in range(1200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = topk.topk(df, df.where("vec_id % 100 = 0"), query_block=3, candidate_block=40)
+    assert sorted(map(tuple, found.collect())) == brute(rows, 10)
+    nrng = np.random.default_rng(2)
+    q, c = nrng.integers(-900, 900, (3, 64)).astype(float), nrng.integers(-900, 900, (300, 64)).astype(float)
+    for i, at, score in topk.block_topk(q, c, np.arange(3) - 9, np.arange(300), 7, floors=np.array([np.inf, 1e5, -np.inf])):
+        scores = c @ q[i]
+        want = set(np.flatnonzero(scores >= np.sort(scores)[-7])) & set(np.flatnonzero(scores >= [np.inf, 1e5, -np.inf][i]))
+        assert set(at.tolist()) == want
