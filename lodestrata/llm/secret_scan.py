@@ -4,14 +4,16 @@ Patterns. Each kind's matches are those of its pattern, leftmost and without ove
 afterwards. The text between matches (`split`) and the matches (`regexp_extract_all`) come from the same matcher, so the spans
 follow from their lengths, in code points.
 
-Battery. Every run of 20 or more characters of the base64 and base64url alphabets that mixes letter cases or letters and
-digits is a candidate. Its encoding is inferred (hexadecimal, base32, base64, base64url), its characters become symbol
-values, and three tests look at them: chi-squared uniformity over the encoding's alphabet, Wald-Wolfowitz runs about the
-alphabet's middle, and the lag-1 serial correlation. The last two must not speak against randomness. The chi-squared statistic
-gives a p-value under the opposite hypothesis, that the candidate is text with the symbol collisions of text. Over all
-documents these p-values go through Benjamini-Hochberg control of the false discovery rate, within strata of encoding and
+Battery. Every run of 20 or more characters of the base64 or of the base64url alphabet that mixes letter cases or letters and
+digits is a candidate; the patterns' spans are blanked out first, so what stands beside one is still looked at, and an equals sign ends a
+run, so that the value behind a name is one of its own. Its encoding is inferred (hexadecimal, base32, base64, base64url), its characters become symbol
+values, and three tests look at them: chi-squared uniformity over the encoding's alphabet, Wald-Wolfowitz runs (about the
+alphabet's middle, and of letter case and digits), and the lag-1 serial correlation. Runs about the middle and serial correlation must not speak against randomness.
+Each test gives a p-value under the opposite hypothesis, that the candidate is text: with the symbol collisions of text, with its rate of
+changes between upper case, lower case and digits (capitals before small letters aside), and with its serial correlation. Fisher's method combines the three. Over all
+documents the combined p-values go through Benjamini-Hochberg control of the false discovery rate, within strata of encoding and
 length, since what a short candidate can show is less. The p-values are binned, and counts per stratum and bin (a table
-of fixed size) give the threshold. Discoveries are added as spans of kind `random` where they don't overlap a pattern's span.
+of fixed size) give the threshold. Discoveries are added as spans of kind `random`.
 
 Short candidates whose letters are as mixed as a random string's (a pangram in camel case, say) can't be told from one.
 
@@ -36,18 +38,23 @@ KINDS = ("assign", "access", "hex", "random")
 LEAST = {"assign": 12, "access": 18, "hex": 16}
 #: A kept hexadecimal match is a maximal run, so the least length may stand in the pattern.
 SCANNED = {"assign": ASSIGN, "access": ACCESS, "hex": r"[0-9a-f]{16,}"}
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+#: Runs of either alphabet; of the second only those that the first can't have.
+CANDIDATES = (r"[A-Za-z0-9+/]{20,}", r"[A-Za-z0-9_-]{20,}")
 UPPER, LOWER, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
-#: Encoding: pattern, alphabet, and the sums of squared and cubed symbol shares of text written in it.
+#: Encoding: pattern, alphabet; of text written in it the sums of squared and cubed symbol shares and the rate at which neighbours are of
+#: another class (but for the first followed by the second, as at the start of a capitalised word); the first values of the second and third class.
 ENCODINGS = {
-    "hex": (r"^([0-9a-f]+|[0-9A-F]+)$", DIGITS + "abcdef", 0.10, 0.0100),
-    "base32": (r"^[A-Z2-7]+$", UPPER + "234567", 0.06, 0.0045),
-    "base64": (r"^[A-Za-z0-9+/]+$", UPPER + LOWER + DIGITS + "+/", 0.05, 0.0035),
-    "base64url": (r"^[A-Za-z0-9_-]+$", UPPER + LOWER + DIGITS + "-_", 0.05, 0.0035),
+    "hex": (r"^([0-9a-f]+|[0-9A-F]+)$", DIGITS + "abcdef", 0.10, 0.0100, 0.10, 10, 99),
+    "base32": (r"^[A-Z2-7]+$", UPPER + "234567", 0.06, 0.0045, 0.04, 26, 99),
+    "base64": (r"^[A-Za-z0-9+/]+$", UPPER + LOWER + DIGITS + "+/", 0.05, 0.0035, 0.18, 26, 52),
+    "base64url": (r"^[A-Za-z0-9_-]+$", UPPER + LOWER + DIGITS + "-_", 0.05, 0.0035, 0.18, 26, 52),
 }
+#: Serial correlation of text.
+TEXT_SERIAL = 0.15
 BANDS = (32, 48, 80)
 #: Two-sided limit of the runs and serial tests (0.001), rate of false discoveries, bins of a decade of p, last bin.
 Z_LIMIT, FDR, BINS, LAST_BIN = 3.29, 0.05, 10, 300
+LN10 = 2.302585092994046
 REDACTED = "[SECRET]"
 SPAN = "struct<start:int,kind:int,end:int>"
 
@@ -64,11 +71,11 @@ def _sql(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _matched(df: DataFrame, kind: str, pattern: str, keep: Callable[[str], str] = lambda m: 'true') -> DataFrame:
-    """df with column kind: the spans of its pattern in _text."""
-    df = df.withColumn("_m", F.expr(f"regexp_extract_all(_text, {_sql(pattern)}, 0)"))
-    df = df.withColumn("_p", F.when(F.size("_m") > 0, F.split("_text", pattern, -1)))
-    return df.withColumn(kind, F.expr(_spans("_m", "_p", KINDS.index(kind), keep))).drop("_m", "_p")
+def _matched(df: DataFrame, column: str, pattern: str, keep: Callable[[str], str] = lambda m: 'true', text: str = "_text") -> DataFrame:
+    """df with a column (a kind's name, or that of a battery's candidates): the spans of a pattern in a text."""
+    df = df.withColumn("_m", F.expr(f"regexp_extract_all({text}, {_sql(pattern)}, 0)"))
+    df = df.withColumn("_p", F.when(F.size("_m") > 0, F.split(text, pattern, -1)))
+    return df.withColumn(column, F.expr(_spans("_m", "_p", KINDS.index(column if column in KINDS else "random"), keep))).drop("_m", "_p")
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
@@ -86,13 +93,21 @@ def log10_tail(z: Column) -> Column:
     return F.when(z >= 0, F.lit(0.0)).otherwise((z * z / 2 + 0.9189385332046727) / 2.302585092994046 - F.log10(poly))
 
 
+def fisher(told: Column) -> Column:
+    """-log10 of the combined p-value of three tests whose -log10 p sum up to told (chi-squared with six degrees of freedom)."""
+    x = told * LN10
+    return (x - F.ln(1 + x + x * x / 2)) / LN10
+
+
 def tested(docs: DataFrame) -> DataFrame:
     """docs with _random: candidates as structs of start, kind, end, stratum and bin (-1: not random)."""
-    df = _matched(docs, "random", CANDIDATE).withColumnRenamed("random", "_random")
-    df = df.withColumn("_random", F.transform("_random", lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end"), F.rtrim(F.substring(F.col("_text"), c["start"] + 1, c["end"] - c["start"]), F.lit("=")).alias("s"))))
-    overlaps = lambda c: F.exists(F.concat("assign", "access", "hex"), lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
+    step = "named_struct('at', greatest(a.at, x.end), 'out', concat(a.out, substring(_text, a.at + 1, x.start - a.at), repeat(' ', x.end - greatest(a.at, x.start))))"
+    masked = F.expr(f"aggregate(array_sort(concat(assign, access, hex)), named_struct('at', 0, 'out', ''), (a, x) -> {step}, a -> concat(a.out, substring(_text, a.at + 1)))")
+    df = docs.withColumn("_masked", F.when(F.size("assign") + F.size("access") + F.size("hex") > 0, masked).otherwise(F.col("_text")))
+    df = _matched(_matched(df, "_a", CANDIDATES[0], text="_masked"), "_b", CANDIDATES[1], text="_masked")
+    told = lambda name: F.transform(name, lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end"), F.substring(F.col("_masked"), c["start"] + 1, c["end"] - c["start"]).alias("s")))
     mixed = lambda c: (c["s"].rlike("[0-9]") & c["s"].rlike("[A-Za-z]")) | (c["s"].rlike("[a-z]") & c["s"].rlike("[A-Z]"))
-    df = df.withColumn("_random", F.filter("_random", lambda c: mixed(c) & (F.length(c["s"]) >= 20) & ~overlaps(c)))
+    df = df.withColumn("_random", F.filter(F.concat(told("_a"), F.filter(told("_b"), lambda c: c["s"].rlike("[_-]"))), mixed)).drop("_a", "_b", "_masked")
 
     def chosen(c: Column, what) -> Column:
         out = F.lit(None)
@@ -109,9 +124,12 @@ def tested(docs: DataFrame) -> DataFrame:
         chosen(c, lambda code, x: list(ENCODINGS).index(code)).alias("code"),
         chosen(c, lambda code, x: x[2]).alias("p2"),
         chosen(c, lambda code, x: x[3]).alias("p3"),
+        chosen(c, lambda code, x: x[4]).alias("rate"),
+        chosen(c, lambda code, x: x[5]).alias("c1"),
+        chosen(c, lambda code, x: x[6]).alias("c2"),
     )), lambda c: c["code"].isNotNull()))
     df = df.withColumn("_random", F.transform("_random", lambda c: own(
-        c, c["code"].alias("code"), c["p2"].alias("p2"), c["p3"].alias("p3"), F.length(c["alphabet"]).cast("double").alias("k"), F.length(c["s"]).cast("double").alias("n"),
+        c, c["code"].alias("code"), c["p2"].alias("p2"), c["p3"].alias("p3"), c["rate"].alias("rate"), c["c1"].alias("c1"), c["c2"].alias("c2"), F.length(c["alphabet"]).cast("double").alias("k"), F.length(c["s"]).cast("double").alias("n"),
         F.transform(F.split(c["s"], ""), lambda x: (F.instr(c["alphabet"], x) - 1).cast("double")).alias("v"),
         F.aggregate(F.split(c["alphabet"], ""), F.lit(0.0), lambda a, x: a + F.pow((F.length(c["s"]) - F.length(F.replace(c["s"], x, F.lit("")))).cast("double"), F.lit(2.0))).alias("squares"),
     )))
@@ -122,8 +140,10 @@ def tested(docs: DataFrame) -> DataFrame:
         return F.aggregate(F.zip_with(F.slice(c["v"], 1, size), F.slice(c["v"], 2, size), f), F.lit(0.0), lambda a, x: a + x)
 
     middle = lambda c: (c["k"] - 1) / 2
+    kind_of = lambda c, x: (x >= c["c1"]).cast("int") + (x >= c["c2"]).cast("int")
     df = df.withColumn("_random", F.transform("_random", lambda c: own(
-        c, c["code"].alias("code"), c["p2"].alias("p2"), c["p3"].alias("p3"), c["k"].alias("k"), c["n"].alias("n"), c["squares"].alias("squares"),
+        c, c["code"].alias("code"), c["p2"].alias("p2"), c["p3"].alias("p3"), c["rate"].alias("rate"), c["k"].alias("k"), c["n"].alias("n"), c["squares"].alias("squares"),
+        later(c, lambda x, y: F.when((kind_of(c, x) != kind_of(c, y)) & ((x >= c["c1"]) | (y >= c["c2"])), 1.0).otherwise(0.0)).alias("changes"),
         F.aggregate(c["v"], F.lit(0.0), lambda a, x: a + F.when(x > middle(c), 1.0).otherwise(0.0)).alias("above"),
         (1 + later(c, lambda x, y: F.when((x > middle(c)) != (y > middle(c)), 1.0).otherwise(0.0))).alias("runs"),
         later(c, lambda x, y: (x - middle(c)) * (y - middle(c))).alias("products"),
@@ -140,7 +160,9 @@ def tested(docs: DataFrame) -> DataFrame:
         mean = k * (1 + (n - 1) * c["p2"]) - n
         sd = k / n * F.sqrt(2 * n * (n - 1) * (c["p2"] + 2 * (n - 2) * c["p3"] - (2 * n - 3) * c["p2"] * c["p2"]))
         random = (F.abs(runs) <= Z_LIMIT) & (F.abs(serial) <= Z_LIMIT)
-        own_bin = F.least(F.floor(BINS * log10_tail((square - mean) / sd)), F.lit(LAST_BIN)).cast("int")
+        changed = ((n - 1) * c["rate"] - c["changes"]) / F.sqrt((n - 1) * c["rate"] * (1 - c["rate"]))
+        even = F.sqrt(n) * (c["products"] / F.greatest(c["mass"], F.lit(1e-9)) - TEXT_SERIAL)
+        own_bin = F.least(F.floor(BINS * fisher(log10_tail((square - mean) / sd) + log10_tail(changed) + log10_tail(even))), F.lit(LAST_BIN)).cast("int")
         band = sum(((n >= b).cast("int") for b in BANDS), F.lit(0))
         return F.struct(*(c[x].alias(x) for x in fields), (c["code"] * (len(BANDS) + 1) + band).alias("stratum"), F.when(random, own_bin).otherwise(-1).alias("bin"))
 
@@ -198,30 +220,40 @@ def oracle_sql() -> str:
     """The same rows in DuckDB's SQL; doc_id has to be a key there."""
     q = lambda x: "'" + x.replace("'", "''") + "'"
     kinds = list(KINDS)
-    pats = {"assign": ASSIGN, "access": ACCESS, "hex": SCANNED["hex"], "random": CANDIDATE}
+    pats = {"assign": ASSIGN, "access": ACCESS, "hex": SCANNED["hex"]}
     code = "CASE " + " ".join(f"WHEN regexp_matches(s, {q(x[0])}) THEN {i}" for i, x in enumerate(ENCODINGS.values())) + " END"
     pick = lambda k: "CASE code " + " ".join(f"WHEN {i} THEN {q(x[k]) if isinstance(x[k], str) else x[k]}" for i, x in enumerate(ENCODINGS.values())) + " END"
     one = lambda kind: f"SELECT doc_id, {q(kind)} AS kind, {kinds.index(kind)} AS ord, regexp_extract_all(x, {q(pats[kind])}) AS ms, string_split_regex(x, {q(pats[kind])}) AS ps FROM t"
+    run = lambda k: f"SELECT doc_id, {k} AS half, regexp_extract_all(x, {q(CANDIDATES[k])}) AS ms, string_split_regex(x, {q(CANDIDATES[k])}) AS ps FROM masked"
+    tail = lambda z: f"CASE WHEN {z} >= 0 THEN 0 ELSE ({z} * {z} / 2 + 0.9189385332046727) / 2.302585092994046 - log10((1 / (1 + 0.2316419 * abs({z}))) * (0.319381530 + (1 / (1 + 0.2316419 * abs({z}))) * (-0.356563782 + (1 / (1 + 0.2316419 * abs({z}))) * (1.781477937 + (1 / (1 + 0.2316419 * abs({z}))) * (-1.821255978 + (1 / (1 + 0.2316419 * abs({z}))) * 1.330274429))))) END"
     return f"""
 WITH t AS (SELECT CAST(doc_id AS BIGINT) AS doc_id, coalesce(text, '') AS x FROM documents),
-m AS ({' UNION ALL '.join(map(one, kinds))}),
+m AS ({' UNION ALL '.join(map(one, kinds[:3]))}),
 u AS (SELECT doc_id, kind, ord, unnest(ms) AS m, unnest(ps[1:len(ms)]) AS p, unnest(range(1, len(ms) + 1)) AS i FROM m WHERE len(ms) > 0),
 v AS (SELECT *, CAST(sum(length(p) + length(m)) OVER (PARTITION BY doc_id, kind ORDER BY i) AS BIGINT) AS e FROM u),
 spans AS (SELECT doc_id, kind, ord, e - length(m) AS a, e AS b, m FROM v WHERE CASE kind WHEN 'assign' THEN length(regexp_extract(m, {q(ASSIGN)}, 2)) >= {LEAST['assign']} WHEN 'access' THEN length(m) >= {LEAST['access']} ELSE true END),
-base AS (SELECT * FROM spans WHERE kind <> 'random'),
-c0 AS (SELECT doc_id, a, b, rtrim(m, '=') AS s FROM spans r WHERE kind = 'random' AND NOT EXISTS (SELECT 1 FROM base z WHERE z.doc_id = r.doc_id AND z.a < r.b AND r.a < z.b)),
-c1 AS (SELECT *, {code} AS code FROM c0 WHERE length(s) >= 20 AND ((regexp_matches(s, '[0-9]') AND regexp_matches(s, '[A-Za-z]')) OR (regexp_matches(s, '[a-z]') AND regexp_matches(s, '[A-Z]')))),
-c2 AS (SELECT doc_id, a, b, code, CASE WHEN code = 0 THEN lower(s) ELSE s END AS s, {pick(1)} AS alphabet, CAST({pick(2)} AS DOUBLE) AS p2, CAST({pick(3)} AS DOUBLE) AS p3 FROM c1 WHERE code IS NOT NULL),
+base AS (SELECT doc_id, kind, ord, a, b FROM spans),
+marks AS (SELECT doc_id, list({{'a': a, 'b': b}}) AS sp FROM base GROUP BY 1),
+masked AS (SELECT t.doc_id, CASE WHEN sp IS NULL THEN x ELSE array_to_string(list_transform(string_split(x, ''), lambda y, i: CASE WHEN len(list_filter(sp, lambda z: z.a < i AND i <= z.b)) > 0 THEN ' ' ELSE y END), '') END AS x FROM t LEFT JOIN marks USING (doc_id)),
+rm AS ({' UNION ALL '.join(map(run, (0, 1)))}),
+ru AS (SELECT doc_id, half, unnest(ms) AS m, unnest(ps[1:len(ms)]) AS p, unnest(range(1, len(ms) + 1)) AS i FROM rm WHERE len(ms) > 0),
+rv AS (SELECT *, CAST(sum(length(p) + length(m)) OVER (PARTITION BY doc_id, half ORDER BY i) AS BIGINT) AS e FROM ru),
+c0 AS (SELECT doc_id, e - length(m) AS a, e AS b, m AS s FROM rv WHERE half = 0 OR regexp_matches(m, '[_-]')),
+c1 AS (SELECT *, {code} AS code FROM c0 WHERE ((regexp_matches(s, '[0-9]') AND regexp_matches(s, '[A-Za-z]')) OR (regexp_matches(s, '[a-z]') AND regexp_matches(s, '[A-Z]')))),
+c2 AS (SELECT doc_id, a, b, code, CASE WHEN code = 0 THEN lower(s) ELSE s END AS s, {pick(1)} AS alphabet, CAST({pick(2)} AS DOUBLE) AS p2, CAST({pick(3)} AS DOUBLE) AS p3, CAST({pick(4)} AS DOUBLE) AS rate, {pick(5)} AS k1, {pick(6)} AS k2 FROM c1 WHERE code IS NOT NULL),
 c3 AS (SELECT *, CAST(length(alphabet) AS DOUBLE) AS k, CAST(length(s) AS DOUBLE) AS n, list_transform(string_split(s, ''), lambda y: CAST(instr(alphabet, y) - 1 AS DOUBLE)) AS v,
   list_sum(list_transform(string_split(alphabet, ''), lambda y: pow(length(s) - length(replace(s, y, '')), 2))) AS squares FROM c2),
 c4 AS (SELECT *, (k - 1) / 2 AS mid FROM c3),
 c5 AS (SELECT *, CAST(len(list_filter(v, lambda y: y > mid)) AS DOUBLE) AS above,
   1 + list_sum(list_transform(range(1, len(v)), lambda i: CASE WHEN (v[i] > mid) <> (v[i + 1] > mid) THEN 1.0 ELSE 0.0 END)) AS runs,
+  list_sum(list_transform(range(1, len(v)), lambda i: CASE WHEN CAST(v[i] >= k1 AS INT) + CAST(v[i] >= k2 AS INT) <> CAST(v[i + 1] >= k1 AS INT) + CAST(v[i + 1] >= k2 AS INT) AND (v[i] >= k1 OR v[i + 1] >= k2) THEN 1.0 ELSE 0.0 END)) AS changes,
   list_sum(list_transform(range(1, len(v)), lambda i: (v[i] - mid) * (v[i + 1] - mid))) AS products, list_sum(list_transform(v, lambda y: pow(y - mid, 2))) AS mass FROM c4),
 c6 AS (SELECT *, 2 * above * (n - above) / n + 1 AS expected, k / n * squares - n AS square, k * (1 + (n - 1) * p2) - n AS mean,
   k / n * sqrt(2 * n * (n - 1) * (p2 + 2 * (n - 2) * p3 - (2 * n - 3) * p2 * p2)) AS sd, code * {len(BANDS) + 1} + {' + '.join(f'CAST(n >= {b} AS INT)' for b in BANDS)} AS stratum FROM c5),
-c7 AS (SELECT *, (runs - expected) / sqrt(greatest((expected - 1) * (expected - 2) / (n - 1), 1e-9)) AS zr, sqrt(n) * (products / greatest(mass, 1e-9) + 1 / n) AS zs, (square - mean) / sd AS z, 1 / (1 + 0.2316419 * abs((square - mean) / sd)) AS y FROM c6),
-c8 AS (SELECT doc_id, a, b, stratum, CASE WHEN abs(zr) <= {Z_LIMIT} AND abs(zs) <= {Z_LIMIT} THEN least(CAST(floor({BINS} * CASE WHEN z >= 0 THEN 0 ELSE (z * z / 2 + 0.9189385332046727) / 2.302585092994046 - log10(y * (0.319381530 + y * (-0.356563782 + y * (1.781477937 + y * (-1.821255978 + y * 1.330274429))))) END) AS INT), {LAST_BIN}) ELSE -1 END AS bin FROM c7),
+c7 AS (SELECT *, (runs - expected) / sqrt(greatest((expected - 1) * (expected - 2) / (n - 1), 1e-9)) AS zr, sqrt(n) * (products / greatest(mass, 1e-9) + 1 / n) AS zs, (square - mean) / sd AS z1,
+  ((n - 1) * rate - changes) / sqrt((n - 1) * rate * (1 - rate)) AS z2, sqrt(n) * (products / greatest(mass, 1e-9) - {TEXT_SERIAL}) AS z3 FROM c6),
+c7b AS (SELECT *, ({tail('z1')} + {tail('z2')} + {tail('z3')}) * {LN10} AS y FROM c7),
+c8 AS (SELECT doc_id, a, b, stratum, CASE WHEN abs(zr) <= {Z_LIMIT} AND abs(zs) <= {Z_LIMIT} THEN least(CAST(floor({BINS} * ((y - ln(1 + y + y * y / 2)) / {LN10})) AS INT), {LAST_BIN}) ELSE -1 END AS bin FROM c7b),
 h AS (SELECT stratum, bin, count(*) AS n FROM c8 GROUP BY 1, 2),
 r AS (SELECT stratum, bin, sum(n) OVER (PARTITION BY stratum ORDER BY bin DESC) AS seen, sum(n) OVER (PARTITION BY stratum) AS total FROM h),
 least_bin AS (SELECT stratum, min(bin) AS bin FROM r WHERE bin > 0 AND pow(10, -bin / {float(BINS)}) <= {FDR} * seen / total GROUP BY 1),
