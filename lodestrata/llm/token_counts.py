@@ -5,7 +5,9 @@ An insert adds its count, a delete takes it away, a revision takes the old count
 Since the totals are additive, a batch is reduced to one signed row per group (partial sums before the shuffle, so a source that
 holds a third of all rows costs one row per task) and only these deltas are kept. A batch is committed by the writer's own
 commit: its folder is written whole or not at all, and a batch id that is committed is never applied again. Totals are the sums of
-the committed deltas; their folders aren't compacted, so reading them grows with the number of batches.
+the committed deltas. Compaction folds them into one folder of totals that names its batches: the totals are written first, the names
+last, and only then are the folded folders removed, so a compaction that fails anywhere changes no total, and a folded batch still counts
+as committed. One writer at a time is assumed, as for the batches.
 
 Defined cases: null texts count 0 tokens; null source or language is a group of its own; rows that repeat are events each; an event
 whose operation is unknown is an error of the batch; an empty batch commits without rows; groups whose documents are all deleted
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import rank_tables, vocabulary
-from .common import stored, table, workspace
+from .common import remove, stored, table, workspace
 
 KEYS = ("source", "lang", "tokenizer")
 DELTA = "source string, lang string, tokenizer string, docs long, tokens long"
@@ -41,30 +43,69 @@ class Rollup:
         where = self._path(name)
         return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
+    def _names(self, folder: str) -> list[str]:
+        where = self._path(folder)
+        fs = where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return sorted(x.getPath().getName() for x in fs.listStatus(where)) if fs.exists(where) else []
+
+    def _compacted(self) -> tuple[str | None, set[str]]:
+        """The newest whole compaction and the batches folded into it."""
+        for number in reversed(self._names("compacted")):
+            if self._exists(f"compacted/{number}/names/_SUCCESS"):
+                rows = self.spark.read.schema("batch string").parquet(f"{self.folder}/compacted/{number}/names").collect()
+                return number, {r["batch"] for r in rows}
+        return None, set()
+
     def committed(self, batch: str) -> bool:
-        """Whether the batch's folder has the writer's mark of success."""
-        return self._exists(f"deltas/batch={batch}/_SUCCESS")
+        """Whether the batch's folder has the writer's mark of success, or a compaction names it."""
+        return self._exists(f"deltas/batch={batch}/_SUCCESS") or batch in self._compacted()[1]
 
     def apply(self, batch: str, events: DataFrame) -> bool:
         """Commit a batch once; False where it already is. A batch that failed midway is written anew."""
         if self.committed(batch):
             return False
-        deltas(events).write.mode("overwrite").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(f"{self.folder}/deltas/batch={batch}")
+        _marked(deltas(events)).parquet(f"{self.folder}/deltas/batch={batch}")
         return True
 
+    def _open(self, folded: set[str]) -> list[str]:
+        """Committed batches that aren't folded."""
+        names = (x.removeprefix("batch=") for x in self._names("deltas"))
+        return [b for b in names if b not in folded and self._exists(f"deltas/batch={b}/_SUCCESS")]
+
     def batches(self) -> list[str]:
-        where = self._path("deltas")
-        fs = where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        names = [x.getPath().getName() for x in fs.listStatus(where)] if fs.exists(where) else []
-        return sorted(n.removeprefix("batch=") for n in names if self.committed(n.removeprefix("batch=")))
+        folded = self._compacted()[1]
+        return sorted([*folded, *self._open(folded)])
 
     def totals(self, keep_empty: bool = True) -> DataFrame:
         """docs and tokens of every group, over all committed batches."""
-        paths = [f"{self.folder}/deltas/batch={b}" for b in self.batches()]
+        number, folded = self._compacted()
+        paths = [f"{self.folder}/deltas/batch={b}" for b in self._open(folded)] + ([f"{self.folder}/compacted/{number}/totals"] if number else [])
         rows = self.spark.read.schema(DELTA).parquet(*paths) if paths else self.spark.createDataFrame([], DELTA)
         out = rows.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
         return out if keep_empty else out.where("docs != 0 or tokens != 0")
 
+    def compact(self) -> bool:
+        """Fold all committed batches into one folder; False where there is nothing to fold."""
+        number, folded = self._compacted()
+        new = self._open(folded)
+        if new:
+            told = f"compacted/{int(number or 0) + 1:08d}"
+            _marked(self.totals()).parquet(f"{self.folder}/{told}/totals")
+            _marked(self.spark.createDataFrame([(b,) for b in sorted([*folded, *new])], "batch string").coalesce(1)).parquet(f"{self.folder}/{told}/names")
+            number, folded = self._compacted()
+        for name in self._names("deltas"):
+            if name.removeprefix("batch=") in folded:
+                remove(self.spark, f"{self.folder}/deltas/{name}")
+        for other in self._names("compacted"):
+            if number and other < number:
+                remove(self.spark, f"{self.folder}/compacted/{other}")
+        return bool(new)
+
+
+def _marked(df: DataFrame):
+    """A writer that leaves a mark of success, whatever the session says."""
+    return df.write.mode("overwrite").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true")
+
 
 def deltas(events: DataFrame) -> DataFrame:
     """One signed row per group of a batch.
@@ -109,4 +150,5 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     for _ in range(2):
         rollup.apply("0002", event("revise", "pieces").withColumns(old))
     rollup.apply("0003", event("delete", "pieces").where("pieces = 0").withColumns(null))
+    rollup.compact()
     return rollup.totals(keep_empty=False)

@@ -102,3 +102,53 @@ def test_warc_records_and_revisits(spark):
     assert warc.read_packages(warc.write_packages(pages.where("page_id > 99"), workspace(spark, "t"))).count() == 0
     least = warc.read_packages(warc.write_packages(pages, workspace(spark, "t"), least_bytes=5)).where("record_type = 'revisit'")
     assert least.count() == 0
+
+
+def decoded_picture(blob):
+    """A reader of the picture format of its own: chunks, checksums, filters 0 to 4."""
+    import struct
+    import zlib
+
+    assert blob[:8] == bytes([137, 80, 78, 71, 13, 10, 26, 10])
+    at, head, data = 8, None, b""
+    while at < len(blob):
+        (n,), kind = struct.unpack(">I", blob[at : at + 4]), blob[at + 4 : at + 8]
+        body = blob[at + 8 : at + 8 + n]
+        assert struct.unpack(">I", blob[at + 8 + n : at + 12 + n])[0] == zlib.crc32(kind + body)
+        head, data = (struct.unpack(">IIBBBBB", body) if kind == b"IHDR" else head), data + (body if kind == b"IDAT" else b"")
+        at += 12 + n
+    width, height, depth, colour, *_ = head
+    assert (depth, colour) == (8, 2)
+    raw, size, rows, last = zlib.decompress(data), 3 * width, [], bytes(3 * width)
+    for y in range(height):
+        kind, line = raw[y * (size + 1)], bytearray(raw[y * (size + 1) + 1 : (y + 1) * (size + 1)])
+        for x in range(size):
+            a, b, c = (line[x - 3] if x >= 3 else 0), last[x], (last[x - 3] if x >= 3 else 0)
+            p = a + b - c
+            nearest = min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]
+            line[x] = line[x] + (0, a, b, (a + b) // 2, nearest)[kind] & 255
+        last = bytes(line)
+        rows.append(last)
+    return b"".join(rows)
+
+
+def test_stored_pictures_by_another_reader(spark, tmp_path):
+    import hashlib
+    import zlib
+
+    from lodestrata.llm import media
+
+    texts = [None, "", "a", "é" * 96, "x" * 192, "y" * 193, "ab\n" * 3000, "a"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    stored = media.read_archives(spark, media.write_archives(docs, workspace(spark, "t")))
+    blobs = {r.doc_id: bytes(r.media) for r in stored.collect()}
+    found = {r.doc_id: r for r in media.payload_features(stored).collect()}
+    assert len(found) == len(texts)
+    for k, text in enumerate(texts):
+        raw = (text or "").encode()
+        payload = raw + b" " * (max(192, -(-len(raw) // 192) * 192) - len(raw))
+        r = found[k]
+        assert decoded_picture(blobs[k]) == payload
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+        assert (r.media_bytes, r.media_sha256) == (len(blobs[k]), hashlib.sha256(blobs[k]).hexdigest())
+    assert found[2].feature == found[7].feature and len({r.feature for r in found.values()}) >= 5
