@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import input_splits, small, stored, table, workspace
+from .common import input_splits, remove, small, stored, table, workspace
 from .components import components
 
 WORDS, PERCENT = 5, 75
@@ -433,6 +433,7 @@ def jaccard_components(docs: DataFrame, folder: str, percent: int = PERCENT, sha
     blocks = stored(whole.mapInArrow(_set_blocks(buckets), WHOLE), f"{folder}/blocks", large_cells=True)
     counts = blocks.where("bucket >= 0").select("bucket", "batch", "hashes", "df").groupBy("bucket").applyInArrow(_frequencies, WHOLE)
     active = stored(blocks.where("bucket < 0").unionByName(counts).groupBy("batch").applyInArrow(_prefixes(percent), ACTIVE), f"{folder}/active")
+    remove(docs.sparkSession, f"{folder}/blocks")
     found = _links(active, percent, folder, cluster_block)
     ties = sets.select("doc_id", "class").distinct().join(classes.drop("uid"), "class").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     ties = ties.select("doc_id", F.coalesce("component", "rep").alias("component")).groupBy("doc_id").agg(F.min("component").alias("component")).where("doc_id != component")

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored, table, workspace
+from .common import remove, stored, table, workspace
 
 #: Words of the shortest run of repeated lines that is removed.
 MIN_WORDS = 20
@@ -274,6 +274,8 @@ def _apply(names: list[str], at: int, min_words: int):
 def _cut(docs: DataFrame, folder: str, min_words: int) -> DataFrame:
     """docs under the names _0, _1, ..., without repeated passages, and removed: names of docs can't clash."""
     hits = stored(repeats(docs, folder), f"{folder}/repeats").withColumnRenamed("doc_id", "id")
+    for name in ("units", "first"):  # nothing reads them any more
+        remove(docs.sparkSession, f"{folder}/{name}")
     at, key = docs.columns.index("text"), docs.columns.index("doc_id")
     inner = docs.toDF(*(f"_{i}" for i in range(len(docs.columns)))).withColumn(f"_{at}", F.col(f"_{at}").cast("string"))
     joined = inner.join(hits, F.col(f"_{key}").cast("long").eqNullSafe(F.col("id")), "left").drop("id")
