@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import input_splits, remove, small, stored, table, workspace
+from .common import input_splits, remove, small, stored, table, tidy, workspace
 from .components import components
 
 WORDS, PERCENT = 5, 75
@@ -159,6 +159,7 @@ def _text_blocks(share: float, buckets: int):
     """
     width = np.uint64(-(-int(share * 2**64) // buckets))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = ((d, own) for b in batches for d, own in zip(b.column("doc_id").to_pylist(), shingle_sets(b), strict=True))
         for batch, ids, sampled, sizes in _row_blocks(rows, share):
@@ -211,6 +212,7 @@ def _set_blocks(buckets: int):
     """Row blocks of whole sets: a row (bucket -1) with all postings, and one for each hash range with its columns and their counts."""
     width = np.uint64(-(-(2**64) // buckets))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = ((d, _ints(s.as_py(), "<u8")) for b in batches for d, s in zip(b.column("doc_id").to_pylist(), b.column("shingles"), strict=True))
         for batch, ids, sampled, sizes in _row_blocks(rows, 1.0, 150_000):
@@ -287,6 +289,7 @@ def _prefixes(percent: int):
     return run
 
 
+@tidy
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: dict[str, list] = {"doc_id": [], "n": [], "class": [], "shingles": []}

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import rank_tables, vocabulary
-from .common import stored, table, workspace
+from .common import stored, table, tidy, workspace
 
 SEQUENCE = 2048
 #: Pieces of a group of the first round, bins merged into a group later, and the residual under which a bin is emitted.
@@ -63,6 +63,7 @@ def pieces(docs: DataFrame, vocab: str, capacity: int = SEQUENCE) -> DataFrame:
     """Every document as pieces: doc_id, piece, start, length, ids_crc32."""
     kept = docs.sparkSession.sparkContext.broadcast(vocab)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = rank_tables(kept.value)
         for batch in batches:

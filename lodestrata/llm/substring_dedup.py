@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import remove, stored, table, workspace
+from .common import remove, stored, table, tidy, workspace
 
 #: Words of the shortest run of repeated lines that is removed.
 MIN_WORDS = 20
@@ -152,6 +152,7 @@ def _sized(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
         at += n
 
 
+@tidy
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in _sized(whole, 1):
@@ -257,6 +258,7 @@ def cut(text: str, kept: dict[int, int | None], min_words: int = MIN_WORDS) -> t
 def _apply(names: list[str], at: int, min_words: int):
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kept_doc_id", pa.int64())]))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, spans = [], []

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import table, tidy
 
 #: Bounds of the fit, and the hashed features (a table of 4 MB, which is broadcast).
 SAMPLE, SAMPLE_CHARS, FEATURES = 6_000, 32_000_000, 1 << 20
@@ -276,10 +276,14 @@ def _runs(lengths: np.ndarray, size: int) -> Iterator[slice]:
 
 def fit(rows: list[tuple[str, int]]) -> Model | None:
     """The field and the score from labelled texts; None without both kinds."""
-    toxic = np.array([bool(y) for _, y in rows], bool)
-    if not len(rows) or toxic.all() or not toxic.any():
+    return fitted(pa.array([text for text, _ in rows], pa.string()), np.array([bool(y) for _, y in rows], bool))
+
+
+def fitted(texts: pa.Array, toxic: np.ndarray) -> Model | None:
+    """`fit` of texts and whether each is toxic."""
+    if not len(texts) or toxic.all() or not toxic.any():
         return None
-    words, codes, lengths = coded(pa.array([text for text, _ in rows], pa.string()))
+    words, codes, lengths = coded(texts)
     if not len(codes):
         return None
     known = _Features.of(words)
@@ -357,16 +361,19 @@ def _sized(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
         yield batch.slice(run.start, run.stop - run.start)
 
 
+@tidy
 def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row, the model's parameters, out of the rows of the sample in their order."""
-    rows, left = [], SAMPLE_CHARS
+    texts, toxic, left = [], [], SAMPLE_CHARS
     for batch in batches:
         for text, y in zip(batch.column("text"), batch.column("toxic").to_pylist(), strict=True):
-            text = text.as_py()
-            if len(text) <= left:
-                rows.append((text, y))
-                left -= len(text)
-    model = fit(rows)
+            n = pc.utf8_length(text).as_py()
+            if n <= left:
+                texts.append(text)
+                toxic.append(y)
+                left -= n
+    texts = pa.array([x.as_py() for x in texts], pa.string())
+    model = fitted(texts, np.array(toxic, bool))
     if model:
         some = np.flatnonzero(model.theta).astype(np.int32)
         told = pickle.dumps((some, model.theta[some], model.trans, model.initial, model.bias, model.weights))
@@ -394,6 +401,7 @@ def _scored(docs: DataFrame, model: Model | None) -> DataFrame:
     inner = docs.toDF(*(f"_{i}" for i in range(len(docs.columns)))).withColumn(f"_{at}", F.col(f"_{at}").cast("string"))
     names = [*inner.columns, "score", "spans"]
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = kept.value
         for whole in batches:
