@@ -105,6 +105,15 @@ def test_nearest_ties_threshold_and_bad_vectors(spark):
     assert [tuple(r) for r in first.collect()] == [("a", 1, None)]
 
 
+def test_nearest_meets_every_block(spark):
+    q, v = (spark.range(n).select("id", F.array(F.col("id").cast("double")).alias("v")) for n in (3, 40))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else so few rows meet in one task whatever their keys
+    try:
+        assert vector.nearest(q, v, 40, query_block=1, vector_block=5).count() == 120
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 BLOCK = """<html><body><div class="a review-details-holder"><div class="date"> 1/2/2024 </div>
 <div class="details"><span>Ann |</span><span>Female |</span> | On medication for 1 to 6 months | <span>Patient</span></div><strong class="condition">Condition: Obesity</strong>
 <div class="overall-rating"><div class="webmd-rate" aria-valuenow="3.5"></div></div><div class="categories"><section><div class="webmd-rate x" aria-valuenow="4"></div></section><section></section></div>
