@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Random keys per range that with_row_order cuts its ranges by; every row has its rank all the same.
+KEYS = 20
+
 
 def _missing(error: AnalysisException) -> bool:
     return error.getCondition() == "PATH_NOT_FOUND"
@@ -52,9 +55,31 @@ def union_sources(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
+def _range_of(order: tuple[str, ...], schema: T.StructType, cuts: list[Row]) -> Column:
+    """The number of a row's range among those that ascending keys cut: a tree of comparisons, nulls first. Any keys give ranges in order."""
+    key = F.struct(*order)
+
+    def below(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        at = (lo + hi) // 2
+        cut = F.struct(*(F.lit(cuts[at][c]).cast(schema[c].dataType).alias(c) for c in order))
+        return F.when(key < cut, below(lo, at)).otherwise(below(at + 1, hi))
+
+    return below(0, len(cuts))
+
+
 def with_row_order(df: DataFrame, *order: str) -> DataFrame:
-    """df with row_idx, from 0 in the given order: global ranks from range partitions and their sizes, not one sorted task."""
-    parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    """df with row_idx, from 0 in the given order: global ranks from ranges of the order and their sizes, not one sorted task.
+
+    The ranges are cut once, at quantiles of some random keys, and written into the plan: Spark's own are drawn anew (and merged as
+    their sizes suggest) each time a plan is run, so that the sizes would be those of other ranges than the rows'.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = df.select(*order)
+    some = keys.orderBy(F.rand(0)).limit(KEYS * n).orderBy(*order).collect()
+    cuts = list(dict.fromkeys(some[len(some) * i // n] for i in range(1, n))) if some else []
+    parts = df.withColumn("_part", _range_of(order, keys.schema, cuts))
     sizes = parts.groupBy("_part").count()
     offsets = sizes.withColumn("_offset", F.sum("count").over(Window.orderBy("_part")) - F.col("count")).drop("count")
     own = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1

@@ -146,6 +146,20 @@ def test_csv_dialect_and_missing_files(spark, tmp_path):
     assert [r.row_idx for r in tables.with_row_order(spark.range(50).repartition(4), "id").orderBy("id").collect()] == list(range(50))
 
 
+def test_row_order_of_a_table_of_several_columns(spark):
+    df = spark.range(0, 100_000, 1, 2).select("id", F.xxhash64("id").alias("h"), F.md5(F.col("id").cast("string")).alias("note"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else so few rows are one range
+    try:
+        found = tables.with_row_order(df, "h").agg(F.count("*"), F.countDistinct("row_idx"), F.max("row_idx"), F.countDistinct("note")).first()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert tuple(found) == (100_000, 100_000, 99_999, 100_000)
+    rows = [(None, 2.0, b"b"), (None, 1.0, b"a"), ("a", float("nan"), None), ("a", 3.0, b"c"), ("a", None, b""), ("b", -0.5, b"z")]
+    mixed = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "s string, x double, y binary, i int")
+    assert [r.i for r in tables.with_row_order(mixed, "s", "x", "y").orderBy("row_idx").collect()] == [1, 0, 4, 3, 2, 5]
+    assert tables.with_row_order(mixed.limit(0), "s").count() == 0
+
+
 def test_table_and_graph_plans(spark):
     df = spark.createDataFrame([("A", 1, None), ("A", 2, 3), ("B", 2, 4), ("B", 2, 1)], "b string, x int, likes int")
     assert TableQuery((("b", "==", "none"),), aggs=(("sum", "likes", "n"),)).run(df).first().n == 0
