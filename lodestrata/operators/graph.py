@@ -8,11 +8,15 @@ from pyspark.sql import functions as F
 from .. import schemas
 
 
+def last(props: list[str], order: list[str]) -> Column:
+    """The properties of the last row by order; of rows equal in it the greatest properties, so that they don't hang on how rows are dealt out."""
+    return F.max_by(F.struct(*props), F.struct(*order, *props))
+
+
 def nodes(rows: DataFrame, props: list[str], order: list[str]) -> DataFrame:
     """Merge by (label, name): the last row's properties win whole, nulls included; nameless rows are skipped. first_seen: least order."""
     named = rows.where("name is not null and name != ''")
-    last = F.max_by(F.struct(*props), F.struct(*order))
-    return named.groupBy("label", "name").agg(last.alias("p"), F.min(order[0]).alias("first_seen")).select("label", "name", "p.*", "first_seen")
+    return named.groupBy("label", "name").agg(last(props, order).alias("p"), F.min(order[0]).alias("first_seen")).select("label", "name", "p.*", "first_seen")
 
 
 def edges(rows: DataFrame, node_table: DataFrame, props: list[str], order: list[str], order_sensitive: bool = True) -> DataFrame:
@@ -29,8 +33,7 @@ def edges(rows: DataFrame, node_table: DataFrame, props: list[str], order: list[
     told = told.join(end("src"), ["src_label", "src"]).join(end("dst"), ["dst_label", "dst"])
     if order_sensitive:
         told = told.where((F.col(order[0]) >= F.col("src_seen")) & (F.col(order[0]) >= F.col("dst_seen")))
-    last = F.max_by(F.struct(*props), F.struct(*order))
-    return told.groupBy(*schemas.EDGE_COLUMNS).agg(last.alias("p"), F.count("*").alias("report_count")).select(*schemas.EDGE_COLUMNS, "p.*", "report_count")
+    return told.groupBy(*schemas.EDGE_COLUMNS).agg(last(props, order).alias("p"), F.count("*").alias("report_count")).select(*schemas.EDGE_COLUMNS, "p.*", "report_count")
 
 
 def duplicate_names(node_table: DataFrame) -> DataFrame:

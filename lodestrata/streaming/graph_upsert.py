@@ -18,7 +18,7 @@ def upsert_nodes(rows: DataFrame, path: str, checkpoint: str, props: list[str],
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         named = batch.where("name is not null and name != ''")
-        last = named.groupBy("label", "name").agg(F.max(F.struct(*order)).alias("seen"), F.max_by(F.struct(*props), F.struct(*order)).alias("p"), F.min(order[0]).alias("first_seen"))
+        last = named.groupBy("label", "name").agg(F.max(F.struct(*order)).alias("seen"), graph.last(props, order).alias("p"), F.min(order[0]).alias("first_seen"))
         last.write.mode("overwrite").parquet(_delta(path, batch_id))
 
     return rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).start()
@@ -27,7 +27,7 @@ def upsert_nodes(rows: DataFrame, path: str, checkpoint: str, props: list[str],
 def current_nodes(spark, path: str) -> DataFrame:
     """The merged nodes of all deltas: the last row by order wins."""
     deltas = spark.read.parquet(path)
-    return deltas.groupBy("label", "name").agg(F.max_by("p", "seen").alias("p"), F.min("first_seen").alias("first_seen")).select("label", "name", "p.*", "first_seen")
+    return deltas.groupBy("label", "name").agg(graph.last(["p"], ["seen"])["p"].alias("p"), F.min("first_seen").alias("first_seen")).select("label", "name", "p.*", "first_seen")
 
 
 def batch_nodes(rows: DataFrame, props: list[str], order: list[str]) -> DataFrame:
@@ -46,7 +46,7 @@ def upsert_edges(rows: DataFrame, path: str, checkpoint: str, props: list[str],
         complete = F.lit(True)
         for c in schemas.EDGE_COLUMNS:
             complete = complete & (F.coalesce(F.col(c), F.lit("")) != "")
-        last = told.where(complete).groupBy(*schemas.EDGE_COLUMNS).agg(F.max(F.struct(*order)).alias("seen"), F.max_by(F.struct(*props), F.struct(*order)).alias("p"), F.count("*").alias("n"))
+        last = told.where(complete).groupBy(*schemas.EDGE_COLUMNS).agg(F.max(F.struct(*order)).alias("seen"), graph.last(props, order).alias("p"), F.count("*").alias("n"))
         last.write.mode("overwrite").parquet(_delta(f"{path}/edges", batch_id))
         told.agg(F.count(F.when(~complete, 1)).alias("errors"), F.count("*").alias("rows")).write.mode("overwrite").parquet(_delta(f"{path}/errors", batch_id))
 
@@ -56,7 +56,7 @@ def upsert_edges(rows: DataFrame, path: str, checkpoint: str, props: list[str],
 def current_edges(spark, path: str) -> DataFrame:
     """The merged relations of all deltas: the last row's properties win, and report_count is the number of rows."""
     deltas = spark.read.parquet(f"{path}/edges")
-    return deltas.groupBy(*schemas.EDGE_COLUMNS).agg(F.max_by("p", "seen").alias("p"), F.sum("n").alias("report_count")).select(*schemas.EDGE_COLUMNS, "p.*", "report_count")
+    return deltas.groupBy(*schemas.EDGE_COLUMNS).agg(graph.last(["p"], ["seen"])["p"].alias("p"), F.sum("n").alias("report_count")).select(*schemas.EDGE_COLUMNS, "p.*", "report_count")
 
 
 def row_errors(spark, path: str) -> int:

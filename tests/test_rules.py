@@ -86,6 +86,17 @@ def test_graph_order_last_writer_and_lost_edges(spark):
     assert graph.duplicate_names(table).count() == 0
 
 
+def test_graph_rows_equal_in_order_have_one_winner(spark):
+    nodes = [(1, "Drug", "d", "9"), (2, "Drug", "d", "11"), (2, "Drug", "d", "2"), (2, "Drug", "d", None)]
+    edges = [(i, "Drug", "d", "CAUSES", "SideEffect", "e", p) for i, _, _, p in nodes]
+    seen = spark.createDataFrame([("Drug", "d", 1), ("SideEffect", "e", 1)], "label string, name string, first_seen int")
+    for way in (1, -1):
+        rows = spark.createDataFrame(nodes[::way], "row_idx int, label string, name string, p string").coalesce(1)
+        assert [r.p for r in graph.nodes(rows, ["p"], ["row_idx"]).collect()] == ["2"]
+        rows = spark.createDataFrame(edges[::way], "row_idx int, src_label string, src string, rel string, dst_label string, dst string, p string").coalesce(1)
+        assert [(r.p, r.report_count) for r in graph.edges(rows, seen, ["p"], ["row_idx"]).collect()] == [("2", 4)]
+
+
 def test_profiles(spark):
     df = spark.createDataFrame([("1", "yes", "x", None), ("2.5", None, "1", None), (None, "No", "x", None)], "a string, b string, c string, d string")
     kinds = {r["col"]: (r["kind"], r["n_null"], r["n_distinct"]) for r in profile.dtype_profile(df).collect()}
