@@ -1,7 +1,10 @@
 """Field rules, documents, graph order, profiles, HTML and plans on invented rows."""
 
 import json
+import math
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,6 +128,34 @@ def test_nearest_meets_every_block(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
+def test_nearest_scores_close_vectors_exactly(spark):
+    q = spark.createDataFrame([(0, [1000.0, 1.0])], "id long, v array<double>")
+    v = spark.createDataFrame([(i, [1000 + x, 1.0]) for i, x in enumerate((3e-7, 1e-7, 2e-7, 1e-7))], "id long, v array<double>")
+    assert [r.id for r in vector.nearest(q, v, 3, "l2").orderBy("rank").collect()] == [1, 3, 2]
+
+
+@pytest.mark.parametrize("metric", ["dot", "l2"])
+def test_best_of_a_block_are_those_of_sums_in_order(metric):
+    rng = np.random.default_rng(1)
+    base = rng.normal(size=(40, 33)).astype(np.float32).astype(float)
+    v = np.concatenate([base[rng.integers(0, 40, 500)], np.zeros((3, 33)), base + 1e-12])
+    ids = rng.permutation(len(v))
+    q = np.concatenate([base[:7], np.zeros((1, 33))])
+    sides = [pa.table({"id": pa.array(i), "v": pa.array(list(x), pa.list_(pa.float64()))}) for i, x in ((np.arange(len(q)), q), (ids, v))]
+    for k in (1, 10, 1000):
+        want = []
+        for i, a in enumerate(q.tolist()):
+            scores = []
+            for n, b in zip(ids.tolist(), v.tolist(), strict=True):
+                total = 0.0
+                for x, y in zip(a, b, strict=True):
+                    total += (x - y) * (x - y) if metric == "l2" else x * y
+                scores.append((-(math.sqrt(total) * math.sqrt(total)) if metric == "l2" else total, n))
+            want += [(i, n, s) for s, n in sorted(scores, key=lambda x: (-x[0], x[1]))[:k]]
+        found = vector._best(k, metric)(*sides)
+        assert list(zip(*(found.column(c).to_pylist() for c in ("query_id", "id", "score")), strict=True)) == want
+
+
 BLOCK = """<html><body><div class="a review-details-holder"><div class="date"> 1/2/2024 </div>
 <div class="details"><span>Ann |</span><span>Female |</span> | On medication for 1 to 6 months | <span>Patient</span></div><strong class="condition">Condition: Obesity</strong>
 <div class="overall-rating"><div class="webmd-rate" aria-valuenow="3.5"></div></div><div class="categories"><section><div class="webmd-rate x" aria-valuenow="4"></div></section><section></section></div>
